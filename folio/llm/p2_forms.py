@@ -115,8 +115,7 @@ def consistent(text: Column, fold: bool = False) -> Column:
     return run(text)
 
 
-@pandas_udf("block bigint, form binary")
-def digests(texts: pd.Series) -> pd.DataFrame:
+def _digests(texts: pd.Series) -> pd.DataFrame:
     """Of each text: a hash of its folded form, for blocking, and the digest of its form; nulls where it is blank."""
     known: dict[str, tuple] = {}
     out = []
@@ -144,7 +143,7 @@ def spelled_apart(records: DataFrame) -> DataFrame:
 def alike_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id_a, id_b) of the records whose whole texts look the same but differ. Texts are compared by 128-bit digests."""
     step = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
-    step = step.select("id", F.unhex(F.md5("t")).alias("raw"), digests(F.col("t")).alias("d")).where("d.block is not null")
+    step = step.select("id", F.unhex(F.md5("t")).alias("raw"), pandas_udf(_digests, "block bigint, form binary")("t").alias("d")).where("d.block is not null")
     return spelled_apart(step.select("id", "raw", "d.block", "d.form"))
 
 
