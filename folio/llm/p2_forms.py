@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import pandas as pd
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -130,7 +131,8 @@ def _digests(texts: pd.Series) -> pd.DataFrame:
 
 def spelled_apart(records: DataFrame) -> DataFrame:
     """(id_a, id_b) of records (id, raw, block, form) with one block and form but different raw texts."""
-    records = records.dropDuplicates(["id"])
+    # a few dozen bytes a record; each of the joins below would make the forms again
+    records = records.dropDuplicates(["id"]).persist(StorageLevel.MEMORY_AND_DISK)
     spellings = records.groupBy("block", "form", "raw").agg(F.lit(1).alias("one")).drop("one")
     ours, theirs = spellings.withColumnRenamed("raw", "raw_a"), spellings.withColumnRenamed("raw", "raw_b")
     couples = ours.join(theirs, ["block", "form"]).where("raw_a < raw_b")
