@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p2_forms", "p3_pieces", "p4_sentences", "p5_encoding", "p6_tokens", "p7_leaks", "p8_spans")
+MODULES = ("p1_quality", "p2_forms", "p3_pieces", "p4_sentences", "p5_encoding", "p6_tokens", "p7_leaks", "p8_spans")
 
 
 def queries() -> dict:
