@@ -134,7 +134,7 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         (F.size(F.filter("lines", lambda x: x.rlike(END))) / F.greatest(F.size("lines"), F.lit(1))).alias("line_ends"),
         judged(common).alias("common"),
         judged(F.when(F.col("lang") == "th", None).otherwise(100 * _count(F.col("t"), r"(?<=[\p{L}\p{M}\p{N}%\"”’»)])[.!?…。！？؟।;](?=[\s\"”’»)」』）]|$)|[。！？؟।]") / F.col("letters"))).alias("ends"),
-        judged(F.when(~without_spaces & (F.col("n_words") >= 8), F.log(F.size(F.array_distinct("w"))) / F.log(F.col("n_words")))).alias("richness"),
+        judged(F.when(F.col("n_words") >= 8, F.log(F.size(F.array_distinct("w"))) / F.log(F.col("n_words")))).alias("richness"),
         judged(F.when(F.col("latin"), F.size(F.filter("w", lambda x: ~x.rlike("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ]") & (F.length(x) > 1))) / F.greatest("n_words", F.lit(1)))).alias("voiceless"),
         judged(F.when(~without_spaces, F.array_max(F.transform(F.split("t", r"\s+"), lambda x: F.length(x))))).cast("double").alias("longest"),
         (F.aggregate(F.filter("lines", _structured), F.lit(0), lambda a, x: a + F.length(x)) / size).alias("structure"),
@@ -168,9 +168,9 @@ def scored(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     total = sum(F.least(F.greatest(w, F.lit(0.0)), F.lit(6.0)) for w in words)
     # sentences that end speak for prose, if it isn't punctuation all over; a few words say too little
     ended = F.coalesce(-F.col("z_ends"), F.lit(0.0))
-    total = total - F.when(F.coalesce(F.col("z_symbols"), F.lit(0.0)) < 5, F.greatest(F.least(ended, F.lit(4.0)), F.lit(0.0))).otherwise(0.0)
+    total = total - F.when(F.coalesce(F.col("z_symbols"), F.lit(0.0)) < 5, 2 * F.greatest(F.least(ended, F.lit(4.0)), F.lit(0.0))).otherwise(0.0)
     total = F.when((F.col("n_words") >= 8) | F.col("lang").isin(*FUNCTION) | (F.coalesce(F.col("z_longest"), F.lit(0.0)) > TAIL_Z), total).otherwise(0.0)
-    return z.withColumn("tails", tails).withColumn("total", total).withColumn("junk", (F.col("z_structure") > STRUCTURE_Z) | ((F.col("tails") >= 2) & (F.col("total") > 9)) | ((F.col("tails") >= 1) & (F.col("total") > 11.5)))
+    return z.withColumn("tails", tails).withColumn("total", total).withColumn("junk", (F.col("z_structure") > STRUCTURE_Z) | ((F.col("tails") >= 2) & (F.col("total") > 9)) | ((F.col("tails") >= 1) & (F.col("total") > 10.5)))
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
