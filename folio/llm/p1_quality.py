@@ -73,6 +73,11 @@ def _count(text: Column, pattern: str) -> Column:
 HINT = r"[\t│┃|;,/»·•›>…]|\.{4}|(?:\. ){4}|\S {2,}\S"
 
 
+def _chars(text: Column, kind: str) -> Column:
+    """How many characters of a class a text has: one match for each run of them, not for each."""
+    return F.length(text) - F.length(F.regexp_replace(text, F.lit(kind + "+"), F.lit("")))
+
+
 def _structured(line: Column) -> Column:
     """Is a line, without white space around it, one of a list, table, menu or contents? Written as a chain of cases, so
     that an ordinary line of prose costs two patterns."""
@@ -95,8 +100,8 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     that isn't blank. lang: a column with what is known of the language, may be null."""
     rows = df.select(F.col(key).alias("key"), F.col(lang).alias("said"), _plain(F.col(text)).alias("t")).where(r"t rlike '\\S'")
     other = F.col("t").rlike(r"[^\x00-\x{24F}\x{2000}-\x{206F}]")
-    n = {k: F.when(other, _count(F.col("t"), p)).otherwise(0) for k, p in SCRIPTS.items()}
-    rows = rows.withColumn("letters", F.greatest(_count(F.col("t"), r"\p{L}"), F.lit(1))).withColumns({f"n_{k}": v for k, v in n.items()})
+    n = {k: F.when(other, _chars(F.col("t"), p)).otherwise(0) for k, p in SCRIPTS.items()}
+    rows = rows.withColumn("letters", F.greatest(_chars(F.col("t"), r"\p{L}"), F.lit(1))).withColumns({f"n_{k}": v for k, v in n.items()})
     others = F.col("n_th") + F.col("n_ar") + F.col("n_hi") + F.col("n_ja") + F.col("n_zh")
     latin = F.col("letters") - others - F.col("n_ru") - F.col("n_el") >= F.greatest(others, F.col("n_ru"), F.col("n_el"))
     rows = rows.withColumn("latin", latin).withColumn("t", F.when(F.col("latin") & (F.col("n_ru") + F.col("n_el") > 0), _looks(F.col("t"))).otherwise(F.col("t")))
@@ -104,16 +109,21 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     # a row is matched with all lists of its script at once
     among = lambda v: F.size(F.filter("w", lambda x: x.isin(v.split())))
     hits = {k: among(v) for k, v in COMMON.items()}
-    rows = rows.withColumns({f"c_{k}": (F.when(F.col("latin"), v) if k in LATIN else F.when(F.col(f"n_{k}") > 0, v)) for k, v in hits.items()})
+    # a text that is plainly English isn't matched with the other lists
+    rows = rows.withColumn("c_en", F.when(F.col("latin"), hits.pop("en")))
+    undecided = F.col("latin") & (F.col("c_en") < F.col("n_words") * 0.15)
+    rows = rows.withColumns({f"c_{k}": (F.when(F.col("latin"), F.when(undecided, v).otherwise(0)) if k in LATIN else F.when(F.col(f"n_{k}") > 0, v)) for k, v in hits.items()})
     best = F.greatest(*(F.col(f"c_{k}") for k in LATIN))
     western = F.when(best >= F.greatest(F.lit(2), F.col("n_words") * 0.04), F.coalesce(*(F.when((F.col("said") == k) & (F.col(f"c_{k}") == best), k) for k in LATIN), *(F.when(F.col(f"c_{k}") == best, k) for k in LATIN))).otherwise(F.coalesce(F.when(F.col("said").isin(*LATIN), F.col("said")), F.lit("en")))
     own = F.when(F.col("n_ja") * 10 >= F.col("n_zh"), F.when(F.col("n_ja") > 0, "ja")).otherwise("zh")
     spaced = F.greatest("n_th", "n_ar", "n_hi", "n_el", "n_ru", F.col("n_ja") + F.col("n_zh"))
     script = reduce(lambda a, k: a.when(F.col(f"n_{k}") == spaced, k), ("th", "ar", "hi", "el", "ru"), F.when(spaced == 0, "en"))
     rows = rows.withColumn("lang", F.when(F.col("latin"), western).otherwise(F.coalesce(script, own, F.lit("zh"))))
-    seen = F.greatest(_count(F.col("t"), r"\S"), F.lit(1))
+    seen = F.greatest(F.length(F.translate("t", " \n\t\r", "")), F.lit(1))
     # what wrong decoding leaves behind; such words aren't judged
-    broken = F.col("t").rlike(r"[^\x00-\x7F]") & (_count(F.col("t"), r"[\x{80}-\x{9F}\x{A1}-\x{A9}\x{AC}-\x{B8}\x{BC}-\x{BE}\x{C2}\x{C3}\x{D0}-\x{D7}\x{DE}\x{FFFD}\x{2500}-\x{25FF}ÎÏØÙ†‡ˆ‰Œ√∂∞≠ΓÇ]") > seen * 0.06)
+    # without ASCII letters and spaces little of most texts is left to look at
+    rows = rows.withColumn("rest", F.regexp_replace("t", "[A-Za-z ]+", ""))
+    broken = F.col("rest").rlike(r"[^\x00-\x7F]") & (_count(F.col("rest"), r"[\x{80}-\x{9F}\x{A1}-\x{A9}\x{AC}-\x{B8}\x{BC}-\x{BE}\x{C2}\x{C3}\x{D0}-\x{D7}\x{DE}\x{FFFD}\x{2500}-\x{25FF}ÎÏØÙ†‡ˆ‰Œ√∂∞≠ΓÇ]") > seen * 0.06)
     broken = broken & ~F.col("t").rlike(r"[│┃]")
     rows = rows.withColumn("seen", seen).withColumn("broken", broken)
     common = reduce(lambda a, k: a.when(F.col("lang") == k, F.col(f"c_{k}") / F.greatest("n_words", F.lit(1))), COMMON, F.when(F.lit(False), F.lit(0.0)))
@@ -130,12 +140,12 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         F.length("t").alias("n_chars"),
         "n_words",
         judged(F.when(without_spaces, None).otherwise(F.col("letters") / F.greatest("n_words", F.lit(1)))).alias("word_length"),
-        judged(_count(F.col("t"), r"[^\p{L}\p{M}\s.,!?;:'\"’“”«»()¿¡。，、！？：；（）「」؟،।…–—-]") / F.col("seen")).alias("symbols"),
+        judged(_chars(F.col("rest"), r"[^\p{L}\p{M}\s.,!?;:'\"’“”«»()¿¡。，、！？：；（）「」؟،।…–—-]") / F.col("seen")).alias("symbols"),
         (F.size(F.filter("lines", lambda x: x.rlike(END))) / F.greatest(F.size("lines"), F.lit(1))).alias("line_ends"),
         judged(common).alias("common"),
-        judged(F.when(F.col("lang") == "th", None).otherwise(100 * _count(F.col("t"), r"(?<=[\p{L}\p{M}\p{N}%\"”’»)])[.!?…。！？؟।;](?=[\s\"”’»)」』）]|$)|[。！？؟।]") / F.col("letters"))).alias("ends"),
+        judged(F.when(F.col("lang") == "th", None).otherwise(100 * _count(F.col("t"), r"[。！？؟।]|[.!?…;](?<=[\p{L}\p{M}\p{N}%\"”’»)].)(?=[\s\"”’»)」』）]|$)") / F.col("letters"))).alias("ends"),
         judged(F.when(F.col("n_words") >= 8, F.log(F.size(F.array_distinct("w"))) / F.log(F.col("n_words")))).alias("richness"),
-        judged(F.when(F.col("latin"), F.size(F.filter("w", lambda x: ~x.rlike("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ]") & (F.length(x) > 1))) / F.greatest("n_words", F.lit(1)))).alias("voiceless"),
+        judged(F.when(F.col("latin") & (F.coalesce(F.greatest(*(F.col(f"c_{k}") for k in LATIN)), F.lit(0)) > F.col("n_words") * 0.15), 0.0).when(F.col("latin"), F.size(F.filter("w", lambda x: ~x.rlike("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ]") & (F.length(x) > 1))) / F.greatest("n_words", F.lit(1)))).alias("voiceless"),
         judged(F.when(~without_spaces, F.array_max(F.transform(F.split("t", r"\s+"), lambda x: F.length(x))))).cast("double").alias("longest"),
         (F.aggregate(F.filter("lines", _structured), F.lit(0), lambda a, x: a + F.length(x)) / size).alias("structure"),
     )
