@@ -57,7 +57,7 @@ def _plain(text: Column) -> Column:
     spaces = "\u00a0\u2002\u2003\u2005\u2007\u2009\u202f\u3000"
     unseen = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
     plain = F.translate(text, wide + spaces + unseen, "".join(map(chr, PLAIN)) + " " * len(spaces))
-    return F.when(text.rlike(r"[^\x00-\x{9F}\x{A1}-\x{AC}\x{AE}-\x{FF}]"), plain).when(text.rlike(r"[\x{A0}\x{AD}]"), plain).otherwise(text)
+    return F.when(text.rlike(r"[\x{A0}\x{AD}\x{2002}-\x{200D}\x{202F}\x{2060}\x{3000}\x{FEFF}\x{FF0E}\x{FF10}-\x{FF5A}]"), plain).otherwise(text)
 
 
 def _looks(text: Column) -> Column:
@@ -73,6 +73,11 @@ def _count(text: Column, pattern: str) -> Column:
 HINT = r"[\t│┃|;,/»·•›>…]|\.{4}|(?:\. ){4}|\S {2,}\S"
 
 
+def _ends(line: Column) -> Column:
+    """Does a line end in punctuation? Only its last characters are looked at."""
+    return F.substring(line, -6, 6).rlike(END)
+
+
 def _chars(text: Column, kind: str) -> Column:
     """How many characters of a class a text has: one match for each run of them, not for each."""
     return F.length(text) - F.length(F.regexp_replace(text, F.lit(kind + "+"), F.lit("")))
@@ -91,8 +96,8 @@ def _structured(line: Column) -> Column:
     wide = line.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
     short = F.when(wide, F.length(line) <= 12).when(line.rlike(r"\p{IsThai}"), F.length(line) <= 18).otherwise((tokens <= 4) & (F.length(line) <= 36))
     shaped = line.rlike(HINT) & (contents | cells | menu)
-    listed = item & ((F.length(line) <= 80) | line.rlike(r"[;；]$"))
-    return F.when(line.rlike(r"[;；]$"), listed | (line.rlike(HINT) & cells)).when(line.rlike(END), shaped).otherwise(listed | shaped | rows | short)
+    listed = item & ((F.length(line) <= 80) | F.right(line, F.lit(1)).isin(";", "；"))
+    return F.when(F.right(line, F.lit(1)).isin(";", "；"), listed | (line.rlike(HINT) & cells)).when(_ends(line), shaped).otherwise(listed | shaped | rows | short)
 
 
 def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -141,7 +146,7 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         "n_words",
         judged(F.when(without_spaces, None).otherwise(F.col("letters") / F.greatest("n_words", F.lit(1)))).alias("word_length"),
         judged(_chars(F.col("rest"), r"[^\p{L}\p{M}\s.,!?;:'\"’“”«»()¿¡。，、！？：；（）「」؟،।…–—-]") / F.col("seen")).alias("symbols"),
-        (F.size(F.filter("lines", lambda x: x.rlike(END))) / F.greatest(F.size("lines"), F.lit(1))).alias("line_ends"),
+        (F.size(F.filter("lines", _ends)) / F.greatest(F.size("lines"), F.lit(1))).alias("line_ends"),
         judged(common).alias("common"),
         judged(F.when(F.col("lang") == "th", None).otherwise(100 * _count(F.col("t"), r"[。！？؟।]|[.!?…;](?<=[\p{L}\p{M}\p{N}%\"”’»)].)(?=[\s\"”’»)」』）]|$)") / F.col("letters"))).alias("ends"),
         judged(F.when(F.col("n_words") >= 8, F.log(F.size(F.array_distinct("w"))) / F.log(F.col("n_words")))).alias("richness"),
