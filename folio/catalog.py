@@ -3,15 +3,176 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.functions.text import STOPS, TOC_MARKS, WS, clean_special, heading_number, is_toc_content, sentence_split
+from folio.operators import geometry, markdown, pages
+from folio.plans import views
+from folio.plans.views import with_views
+from folio.session import table
+
+LIMIT = 256
+RULES = [pages.DropRule(contains=("cookie", "Cookie")), pages.DropRule(regex=(r"^Draft \d+$", "(invalid"))]
+BOX_RULES = [pages.DropRule(contains=("Draft 7",), whole_box=True)]
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("text is not null and text != ''")
+    return docs.select("doc_id", "lang", "source", F.posexplode(sentence_split(F.col("text"), LIMIT)).alias("piece_no", "piece"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    """Sentence pieces counted by language and source."""
+    return _pieces(spark, folder).groupBy("lang", "source").agg(F.count("*").alias("pieces"), F.sum(F.length("piece")).alias("chars"), F.max(F.length("piece")).alias("longest"))
+
+
+def md_headings(spark, folder):
+    return markdown.headings(views.lines(views.markdown(spark, folder)))
+
+
+def md_sections(spark, folder):
+    return markdown.sections(views.lines(views.markdown(spark, folder)))
+
+
+def md_pieces(spark, folder):
+    return _pieces(spark, folder).select("doc_id", "piece_no", "piece")
+
+
+def special_chars_filtered(spark, folder):
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", clean_special(F.col("text")).alias("text"))
+
+
+def toc_content_lines(spark, folder):
+    return views.lines(views.markdown(spark, folder)).where(is_toc_content(F.col("line"))).select("doc_id", "line_no")
+
+
+def heading_numbers(spark, folder):
+    return views.lines(views.markdown(spark, folder)).select("doc_id", "line_no", heading_number(F.col("line")).alias("number")).where("number != ''")
+
+
+def drop_lines(spark, folder):
+    return pages.drop_lines(views.page_lines(spark, folder), RULES).select("doc", "page", "line_no")
+
+
+def drop_boxes(spark, folder):
+    return pages.drop_lines(views.page_lines(spark, folder), BOX_RULES).groupBy("doc").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("lines"))
+
+
+def header_footer_lines(spark, folder):
+    return pages.running_lines(views.page_lines(spark, folder))
+
+
+def header_footer_removed(spark, folder):
+    return pages.without_running_lines(views.page_lines(spark, folder)).groupBy("doc").agg(F.count("*").alias("lines"))
+
+
+def body_font_size(spark, folder):
+    return pages.body_size(views.sized_lines(spark, folder))
+
+
+def heading_tiers(spark, folder):
+    return pages.heading_tiers(views.sized_lines(spark, folder))
+
+
+def tier_nearest(spark, folder):
+    sized = views.sized_lines(spark, folder)
+    big = sized.join(pages.body_size(sized), "doc").where("size > body + 0.5").select("doc", "page", "line_no", "size")
+    tiers = pages.heading_tiers(sized).withColumnRenamed("size", "tier")
+    return big.join(tiers, "doc").groupBy("doc", "page", "line_no").agg(F.min_by("level", F.struct(F.abs(F.col("size") - F.col("tier")), F.col("level"))).alias("level"))
+
+
+def rect_edges(spark, folder):
+    return geometry.edges(views.rects(spark, folder))
+
+
+def edge_snap(spark, folder):
+    return geometry.snapped(rect_edges(spark, folder))
+
+
+def edge_join(spark, folder):
+    return geometry.joined(edge_snap(spark, folder))
+
+
+def edge_crossings(spark, folder):
+    return geometry.crossings(edge_join(spark, folder)).groupBy("page").agg(F.count("*").alias("crossings"), F.round(F.sum("x"), 3).alias("sum_x"), F.round(F.sum("y"), 3).alias("sum_y"))
+
+
+def glyph_lines(spark, folder):
+    return pages.glyph_lines(views.glyphs(spark, folder))
+
+
+def rotate_glyphs(spark, folder):
+    return pages.rotated(views.glyphs(spark, folder), table(spark, folder, "pdf_pages"))
+
+
+def page_font_stats(spark, folder):
+    g = views.glyphs(spark, folder)
+    return g.groupBy("doc_id", "page_num", "font_name").agg(F.count("*").alias("n"), F.min("bbox.x0").alias("x0"), F.max("bbox.x1").alias("x1"), F.round(F.avg("seq_no"), 6).alias("avg_seq"))
+
+
+QUERIES = {f.__name__: f for f in (flagship, md_headings, md_sections, md_pieces, special_chars_filtered, toc_content_lines, heading_numbers, drop_lines, drop_boxes, header_footer_lines, header_footer_removed, body_font_size, heading_tiers, tier_nearest, rect_edges, edge_snap, edge_join, edge_crossings, glyph_lines, rotate_glyphs, page_font_stats)}
+
+
+
+def _trim(value: str) -> str:
+    return rf"regexp_replace({value}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+_NORM = f"regexp_replace({_trim('line')}, '{WS}+', ' ', 'g')"
+_LEVEL = r"CASE WHEN regexp_matches(line, '^[ \t]*(#{1,6})[ \t]+[^ \t]') THEN length(regexp_extract(line, '^[ \t]*(#{1,6})[ \t]', 1)) ELSE 0 END"
+_TITLE = _trim(r"regexp_replace(regexp_replace(line, '^[ \t]*#{1,6}[ \t]+', ''), '[#\r\n]', '', 'g')")
+_STOP = STOPS.replace("\n", r"\n")
+_PIECES = f"""p AS (SELECT doc_id, lang, source, text AS rest, '' AS piece, 0 AS k FROM documents WHERE text IS NOT NULL AND text <> ''
+    UNION ALL SELECT doc_id, lang, source, substring(rest, length(cut) + 1), cut, k + 1 FROM (SELECT *, CASE WHEN length(rest) <= {LIMIT} THEN rest WHEN regexp_extract(substring(rest, 1, {LIMIT}), '(?s)^.*[{_STOP}]', 0) <> '' THEN regexp_extract(substring(rest, 1, {LIMIT}), '(?s)^.*[{_STOP}]', 0) ELSE substring(rest, 1, {LIMIT}) END AS cut FROM p WHERE rest <> '')),
+    q AS (SELECT doc_id, lang, source, k, {_trim('piece')} AS piece FROM p WHERE k > 0)"""
+_BODY = "b AS (SELECT doc, s AS body FROM (SELECT doc, s, row_number() OVER (PARTITION BY doc ORDER BY n DESC, s) AS r FROM (SELECT doc, round(size * 2) / 2 AS s, count(*) AS n FROM sized WHERE size > 0 GROUP BY 1, 2)) WHERE r = 1)"
+_TIERS = f"t AS (SELECT doc, tier, least(dense_rank() OVER (PARTITION BY doc ORDER BY tier DESC) + 1, 6) AS level FROM (SELECT DISTINCT doc, round(size) AS tier FROM sized JOIN b USING (doc) WHERE size > body + 0.5 AND len(string_split({_NORM}, ' ')) <= 15 AND len(regexp_extract_all(line, '[\\x{{4E00}}-\\x{{9FFF}}]')) <= 15))"
+_EDGES = "e AS (SELECT DISTINCT page, orient, pos, lo, hi FROM (SELECT page, 'h' AS orient, y0 AS pos, x0 AS lo, x1 AS hi FROM r UNION ALL SELECT page, 'h', y1, x0, x1 FROM r UNION ALL SELECT page, 'v', x0, y0, y1 FROM r UNION ALL SELECT page, 'v', x1, y0, y1 FROM r))"
+_EDGES = "r AS (SELECT * FROM rects WHERE x1 > x0 AND y1 > y0), " + _EDGES
+_SNAP = _EDGES + ", sn AS (SELECT page, orient, round(avg(pos) OVER (PARTITION BY page, orient, g), 6) AS pos, lo, hi FROM (SELECT *, sum(new) OVER (PARTITION BY page, orient ORDER BY pos, lo, hi) AS g FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY page, orient ORDER BY pos, lo, hi) > 3 THEN 1 ELSE 0 END AS new FROM e)))"
+_JOIN = _SNAP + ", jn AS (SELECT page, orient, pos, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY page, orient, pos ORDER BY lo, hi) AS g FROM (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY page, orient, pos ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 0 ELSE 1 END AS new FROM sn)) GROUP BY page, orient, pos, g)"
+_RUN = f"n AS (SELECT doc, count(DISTINCT page) AS n FROM page_lines GROUP BY 1), h AS (SELECT doc, norm, count(*) AS pages FROM (SELECT DISTINCT doc, page, {_NORM} AS norm FROM page_lines) WHERE norm <> '' GROUP BY 1, 2), run AS (SELECT doc, norm, pages FROM h JOIN n USING (doc) WHERE n >= 3 AND pages >= greatest(3, n // 2))"
+_HIT = "(contains(line, 'cookie') OR contains(line, 'Cookie') OR regexp_matches(line, '^Draft \\d+$'))"
+_MARKS = " OR ".join(f"contains(low, '{m}')" for m in TOC_MARKS)
+
+
+def _with(query: str, more: str, *names: str) -> str:
+    return with_views("", *names).rstrip() + (", " if names else " ") + more + " " + query
+
+
+ORACLE = {
+    "flagship": "WITH RECURSIVE " + _PIECES + " SELECT lang, source, count(*) AS pieces, sum(length(piece))::bigint AS chars, max(length(piece)) AS longest FROM q WHERE piece <> '' GROUP BY 1, 2",
+    "md_headings": with_views(f"SELECT * FROM (SELECT doc_id, line_no, {_LEVEL} AS level, {_TITLE} AS title FROM md_lines) WHERE level > 0", "md", "md_lines"),
+    "md_sections": _with(
+        "SELECT doc_id, line_no, len(c) AS depth, array_to_string(c, ' ') AS chain FROM (SELECT doc_id, line_no, list_filter([" + ", ".join(f"CASE WHEN p{k}.n > greatest(-1, " + ", ".join(["-1"] + [f"coalesce(p{j}.n, -1)" for j in range(1, k)]) + f") THEN p{k}.t END" for k in range(1, 7)) + "], lambda x: x IS NOT NULL) AS c FROM w)",
+        f"l AS (SELECT doc_id, line_no, {_LEVEL} AS level, {_TITLE} AS title FROM md_lines), w AS (SELECT doc_id, line_no, " + ", ".join(f"last_value(CASE WHEN level = {k} THEN {{'n': line_no, 't': title}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS p{k}" for k in range(1, 7)) + " FROM l)",
+        "md",
+        "md_lines",
+    ),
+    "md_pieces": "WITH RECURSIVE " + _PIECES + " SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS int) AS piece_no, piece FROM q WHERE piece <> ''",
+    "special_chars_filtered": f"SELECT doc_id, {_trim('t')} AS text FROM (SELECT doc_id, replace(replace(regexp_replace(CASE WHEN starts_with(text, '|') THEN text ELSE regexp_replace(text, '\\n+', chr(10), 'g') END, ' +', ' ', 'g'), '#', ''), chr(9), '') AS t FROM documents WHERE text IS NOT NULL)",
+    "toc_content_lines": with_views(f"SELECT doc_id, line_no FROM (SELECT doc_id, line_no, lower({_trim('line')}) AS low FROM md_lines) WHERE low IN ('目录', 'table of contents') OR {_MARKS}", "md", "md_lines"),
+    "heading_numbers": with_views(r"SELECT * FROM (SELECT doc_id, line_no, regexp_extract(line, '^(\d+(?:\.\d+)*)', 1) AS number FROM md_lines) WHERE number <> ''", "md", "md_lines"),
+    "drop_lines": with_views(f"SELECT doc, page, line_no FROM page_lines WHERE NOT {_HIT}", "page_lines"),
+    "drop_boxes": with_views("SELECT doc, count(DISTINCT page) AS pages, count(*) AS lines FROM (SELECT *, bool_or(contains(line, 'Draft 7')) OVER (PARTITION BY doc, page) AS gone FROM page_lines) WHERE NOT gone GROUP BY 1", "page_lines"),
+    "header_footer_lines": _with("SELECT * FROM run", _RUN, "page_lines"),
+    "header_footer_removed": _with(f"SELECT doc, count(*) AS lines FROM (SELECT doc, {_NORM} AS norm FROM page_lines) l WHERE NOT EXISTS (SELECT 1 FROM run WHERE run.doc = l.doc AND run.norm = l.norm) GROUP BY 1", _RUN, "page_lines"),
+    "body_font_size": _with("SELECT doc, body FROM b", _BODY, "page_lines", "sized"),
+    "heading_tiers": _with("SELECT doc, tier AS size, level FROM t", _BODY + ", " + _TIERS, "page_lines", "sized"),
+    "tier_nearest": _with("SELECT doc, page, line_no, level FROM (SELECT s.doc, s.page, s.line_no, t.level, row_number() OVER (PARTITION BY s.doc, s.page, s.line_no ORDER BY abs(s.size - t.tier), t.level) AS r FROM sized s JOIN b USING (doc) JOIN t USING (doc) WHERE s.size > body + 0.5) WHERE r = 1", _BODY + ", " + _TIERS, "page_lines", "sized"),
+    "rect_edges": _with("SELECT * FROM e", _EDGES, "rects"),
+    "edge_snap": _with("SELECT * FROM sn", _SNAP, "rects"),
+    "edge_join": _with("SELECT * FROM jn", _JOIN, "rects"),
+    "edge_crossings": _with("SELECT page, count(*) AS crossings, round(sum(x), 3) AS sum_x, round(sum(y), 3) AS sum_y FROM (SELECT DISTINCT h.page, v.pos AS x, h.pos AS y FROM jn h JOIN jn v ON h.page = v.page AND h.orient = 'h' AND v.orient = 'v' AND v.pos BETWEEN h.lo - 3 AND h.hi + 3 AND h.pos BETWEEN v.lo - 3 AND v.hi + 3) GROUP BY 1", _JOIN, "rects"),
+    "glyph_lines": _with("SELECT doc_id, page_num, oy, count(*) AS n, string_agg(text, '' ORDER BY ox, seq_no, glyph_id) AS text, min(bbox.x0) AS x0, max(bbox.x1) AS x1, sum(CASE WHEN ox - fin > wide THEN 1 ELSE 0 END)::bigint AS gaps FROM w GROUP BY 1, 2, 3", "w AS (SELECT *, avg(CASE WHEN advance > 0 THEN advance END) OVER (PARTITION BY doc_id, page_num, oy) AS wide, lag(ox + advance) OVER (PARTITION BY doc_id, page_num, oy ORDER BY ox, seq_no, glyph_id) AS fin FROM g WHERE text IS NOT NULL)", "g"),
+    "rotate_glyphs": with_views("SELECT glyph_id, round(CASE t WHEN 90 THEN oy WHEN 180 THEN width - ox WHEN 270 THEN height - oy ELSE ox END, 6) AS x, round(CASE t WHEN 90 THEN width - ox WHEN 180 THEN height - oy WHEN 270 THEN ox ELSE oy END, 6) AS y FROM g JOIN (SELECT doc_id, page_num, width, height, ((coalesce(rotate, 0) % 360) + 360) % 360 AS t FROM pdf_pages) USING (doc_id, page_num)", "g"),
+    "page_font_stats": with_views("SELECT doc_id, page_num, font_name, count(*) AS n, min(bbox.x0) AS x0, max(bbox.x1) AS x1, round(avg(seq_no), 6) AS avg_seq FROM g GROUP BY 1, 2, 3", "g"),
+}
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
