@@ -104,9 +104,12 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """(key, lang, n_chars, n_words, word_length, symbols, line_ends, common, ends, richness, voiceless, longest, structure) of each text
     that isn't blank. lang: a column with what is known of the language, may be null."""
     rows = df.select(F.col(key).alias("key"), F.col(lang).alias("said"), _plain(F.col(text)).alias("t")).where(r"t rlike '\\S'")
-    other = F.col("t").rlike(r"[^\x00-\x{24F}\x{2000}-\x{206F}]")
-    n = {k: F.when(other, _chars(F.col("t"), p)).otherwise(0) for k, p in SCRIPTS.items()}
-    rows = rows.withColumn("letters", F.greatest(_chars(F.col("t"), r"\p{L}"), F.lit(1))).withColumns({f"n_{k}": v for k, v in n.items()})
+    # without ASCII letters and spaces little of most texts is left to look at
+    rows = rows.withColumn("rest", F.regexp_replace("t", "[A-Za-z ]+", "")).withColumn("seen", F.greatest(F.length(F.replace("t", F.lit(" "), F.lit(""))), F.lit(1)))
+    other = F.col("rest").rlike(r"[^\x00-\x{24F}\x{2000}-\x{206F}]")
+    n = {k: F.when(other, _chars(F.col("rest"), p)).otherwise(0) for k, p in SCRIPTS.items()}
+    letters = F.col("seen") - F.length("rest") + _chars(F.col("rest"), r"\p{L}")
+    rows = rows.withColumn("letters", F.greatest(letters, F.lit(1))).withColumns({f"n_{k}": v for k, v in n.items()})
     others = F.col("n_th") + F.col("n_ar") + F.col("n_hi") + F.col("n_ja") + F.col("n_zh")
     latin = F.col("letters") - others - F.col("n_ru") - F.col("n_el") >= F.greatest(others, F.col("n_ru"), F.col("n_el"))
     rows = rows.withColumn("latin", latin).withColumn("t", F.when(F.col("latin") & (F.col("n_ru") + F.col("n_el") > 0), _looks(F.col("t"))).otherwise(F.col("t")))
@@ -124,13 +127,12 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     spaced = F.greatest("n_th", "n_ar", "n_hi", "n_el", "n_ru", F.col("n_ja") + F.col("n_zh"))
     script = reduce(lambda a, k: a.when(F.col(f"n_{k}") == spaced, k), ("th", "ar", "hi", "el", "ru"), F.when(spaced == 0, "en"))
     rows = rows.withColumn("lang", F.when(F.col("latin"), western).otherwise(F.coalesce(script, own, F.lit("zh"))))
-    seen = F.greatest(F.length(F.translate("t", " \n\t\r", "")), F.lit(1))
+    seen = F.col("seen")
     # what wrong decoding leaves behind; such words aren't judged
-    # without ASCII letters and spaces little of most texts is left to look at
-    rows = rows.withColumn("rest", F.regexp_replace("t", "[A-Za-z ]+", ""))
+    rows = rows.withColumn("rest", F.when(F.col("latin") & (F.col("n_ru") + F.col("n_el") > 0), F.regexp_replace("t", "[A-Za-z ]+", "")).otherwise(F.col("rest")))
     broken = F.col("rest").rlike(r"[^\x00-\x7F]") & (_count(F.col("rest"), r"[\x{80}-\x{9F}\x{A1}-\x{A9}\x{AC}-\x{B8}\x{BC}-\x{BE}\x{C2}\x{C3}\x{D0}-\x{D7}\x{DE}\x{FFFD}\x{2500}-\x{25FF}ÎÏØÙ†‡ˆ‰Œ√∂∞≠ΓÇ]") > seen * 0.06)
     broken = broken & ~F.col("t").rlike(r"[│┃]")
-    rows = rows.withColumn("seen", seen).withColumn("broken", broken)
+    rows = rows.withColumn("broken", broken)
     common = reduce(lambda a, k: a.when(F.col("lang") == k, F.col(f"c_{k}") / F.greatest("n_words", F.lit(1))), COMMON, F.when(F.lit(False), F.lit(0.0)))
     common = reduce(lambda a, k: a.when(F.col("lang") == k, _count(F.col("t"), FUNCTION[k]) / F.col("letters")), FUNCTION, common)
     # structure is judged in damaged texts too, on their ASCII part
@@ -148,7 +150,7 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         judged(_chars(F.col("rest"), r"[^\p{L}\p{M}\s.,!?;:'\"’“”«»()¿¡。，、！？：；（）「」؟،।…–—-]") / F.col("seen")).alias("symbols"),
         (F.size(F.filter("lines", _ends)) / F.greatest(F.size("lines"), F.lit(1))).alias("line_ends"),
         judged(common).alias("common"),
-        judged(F.when(F.col("lang") == "th", None).otherwise(100 * _count(F.col("t"), r"[。！？؟।]|[.!?…;](?<=[\p{L}\p{M}\p{N}%\"”’»)].)(?=[\s\"”’»)」』）]|$)") / F.col("letters"))).alias("ends"),
+        judged(F.when(F.col("lang") == "th", None).otherwise(100 * _count(F.col("t"), r"[.!?…;。！？؟।](?:(?<=[。！？؟।])|(?<=[\p{L}\p{M}\p{N}%\"”’»)].)(?=[\s\"”’»)」』）]|$))") / F.col("letters"))).alias("ends"),
         judged(F.when(F.col("n_words") >= 8, F.log(F.size(F.array_distinct("w"))) / F.log(F.col("n_words")))).alias("richness"),
         judged(F.when(F.col("latin") & (F.coalesce(F.greatest(*(F.col(f"c_{k}") for k in LATIN)), F.lit(0)) > F.col("n_words") * 0.15), 0.0).when(F.col("latin"), F.size(F.filter("w", lambda x: ~x.rlike("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ]") & (F.length(x) > 1))) / F.greatest("n_words", F.lit(1)))).alias("voiceless"),
         judged(F.when(~without_spaces, F.array_max(F.transform(F.split("t", r"\s+"), lambda x: F.length(x))))).cast("double").alias("longest"),
