@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.text import STOPS, TOC_MARKS, WS, clean_special, heading_number, is_toc_content, sentence_split
+from folio.functions.text import STOPS, TOC_MARKS, WS, clean_special, heading_number, is_toc_content, sentence_split, utrim
 from folio.operators import geometry, markdown, pages
 from folio.plans import views
 from folio.plans.views import with_views
@@ -13,6 +13,8 @@ from folio.session import table
 
 LIMIT = 256
 RULES = [pages.DropRule(contains=("cookie", "Cookie")), pages.DropRule(regex=(r"^Draft \d+$", "(invalid"))]
+# Fixed value: a contents line, its title taken as short as possible, its leaders and its page.
+TOC_LINE = r"^([^\n]{1,150}?)[ .。…]*[.。…]{3,} *(\d+)[.。… \t]*\z"
 BOX_RULES = [pages.DropRule(contains=("Draft 7",), whole_box=True)]
 
 
@@ -110,7 +112,22 @@ def page_font_stats(spark, folder):
     return g.groupBy("doc_id", "page_num", "font_name").agg(F.count("*").alias("n"), F.min("bbox.x0").alias("x0"), F.max("bbox.x1").alias("x1"), F.round(F.avg("seq_no"), 6).alias("avg_seq"))
 
 
-QUERIES = {f.__name__: f for f in (flagship, md_headings, md_sections, md_pieces, special_chars_filtered, toc_content_lines, heading_numbers, drop_lines, drop_boxes, header_footer_lines, header_footer_removed, body_font_size, heading_tiers, tier_nearest, rect_edges, edge_snap, edge_join, edge_crossings, glyph_lines, rotate_glyphs, page_font_stats)}
+def toc_entries(spark, folder):
+    """Contents lines with leaders: their number, title and page."""
+    chunks = table(spark, folder, "chunks").select("chunk_id", "content").dropDuplicates(["chunk_id"])
+    rows = chunks.select("chunk_id", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(TOC_LINE))
+    title = utrim(F.regexp_extract("line", TOC_LINE, 1))
+    return rows.select("chunk_id", "line_no", heading_number(title).alias("number"), title.alias("title"), F.regexp_extract("line", TOC_LINE, 2).alias("page"))
+
+
+def chunks_json(spark, folder):
+    """One JSON object a chunk, nulls kept, in the order of the document."""
+    chunks = table(spark, folder, "chunks").drop("loaded_at").dropDuplicates(["chunk_id"])
+    row = F.struct("title", "content", "keywords", "parent_chain", "level", "originlevel", "parentindex", "parent_trunk_id_kwd")
+    return chunks.select("doc_id", "chunk_no", "chunk_id", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
+
+
+QUERIES = {f.__name__: f for f in (flagship, md_headings, md_sections, md_pieces, special_chars_filtered, toc_content_lines, heading_numbers, drop_lines, drop_boxes, header_footer_lines, header_footer_removed, body_font_size, heading_tiers, tier_nearest, rect_edges, edge_snap, edge_join, edge_crossings, glyph_lines, rotate_glyphs, page_font_stats, toc_entries, chunks_json)}
 
 
 
@@ -166,6 +183,7 @@ ORACLE = {
     "edge_crossings": _with("SELECT page, count(*) AS crossings, round(sum(x), 3) AS sum_x, round(sum(y), 3) AS sum_y FROM (SELECT DISTINCT h.page, v.pos AS x, h.pos AS y FROM jn h JOIN jn v ON h.page = v.page AND h.orient = 'h' AND v.orient = 'v' AND v.pos BETWEEN h.lo - 3 AND h.hi + 3 AND h.pos BETWEEN v.lo - 3 AND v.hi + 3) GROUP BY 1", _JOIN, "rects"),
     "glyph_lines": _with("SELECT doc_id, page_num, oy, count(*) AS n, string_agg(text, '' ORDER BY ox, seq_no, glyph_id) AS text, min(bbox.x0) AS x0, max(bbox.x1) AS x1, sum(CASE WHEN ox - fin > wide THEN 1 ELSE 0 END)::bigint AS gaps FROM w GROUP BY 1, 2, 3", "w AS (SELECT *, avg(CASE WHEN advance > 0 THEN advance END) OVER (PARTITION BY doc_id, page_num, oy) AS wide, lag(ox + advance) OVER (PARTITION BY doc_id, page_num, oy ORDER BY ox, seq_no, glyph_id) AS fin FROM g WHERE text IS NOT NULL)", "g"),
     "rotate_glyphs": with_views("SELECT glyph_id, round(CASE t WHEN 90 THEN oy WHEN 180 THEN width - ox WHEN 270 THEN height - oy ELSE ox END, 6) AS x, round(CASE t WHEN 90 THEN width - ox WHEN 180 THEN height - oy WHEN 270 THEN ox ELSE oy END, 6) AS y FROM g JOIN (SELECT doc_id, page_num, width, height, ((coalesce(rotate, 0) % 360) + 360) % 360 AS t FROM pdf_pages) USING (doc_id, page_num)", "g"),
+    "toc_entries": rf"SELECT chunk_id, line_no, regexp_extract(title, '^(\d+(?:\.\d+)*)', 1) AS number, title, page FROM (SELECT chunk_id, line_no, {_trim(f"regexp_extract(line, '{TOC_LINE}', 1)")} AS title, regexp_extract(line, '{TOC_LINE}', 2) AS page FROM (SELECT chunk_id, cast(i - 1 AS int) AS line_no, parts[i] AS line FROM (SELECT DISTINCT chunk_id, string_split(content, chr(10)) AS parts FROM chunks), unnest(range(1, len(parts) + 1)) AS u(i)) WHERE regexp_matches(line, '{TOC_LINE}'))",
     "page_font_stats": with_views("SELECT doc_id, page_num, font_name, count(*) AS n, min(bbox.x0) AS x0, max(bbox.x1) AS x1, round(avg(seq_no), 6) AS avg_seq FROM g GROUP BY 1, 2, 3", "g"),
 }
 

@@ -84,3 +84,14 @@ def test_registry_without_optional_part():
 
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_files_in_and_out(spark, tmp_path):
+    from folio import sources
+
+    (tmp_path / "a.md").write_text("# a\ntext")
+    (tmp_path / "b.md").write_text("")
+    docs = sources.text_documents(spark, str(tmp_path / "*.md"))
+    assert sorted(r.text or "" for r in docs.collect()) == ["# a\ntext"]
+    sources.write_json(docs, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == docs.count()
