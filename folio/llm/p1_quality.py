@@ -6,9 +6,11 @@ characters on lines of lists, tables, menus and contents. Each statistic gets a
 language (script, and for Latin script the language whose common words are most frequent). A value becomes a robust z:
 its distance from the median in units of the spread of that half of the distribution that junk doesn't reach, or of a
 floor where the statistic hardly varies. Texts are flagged whose structure share lies in the upper tail, or of whose
-word statistics several lie in their junk tails.
+word statistics several lie in their junk tails. Fillers have few letters or none: a text without words is flagged, and
+one of mostly other characters if its symbols or its longest word lie in the tail.
 
-Statistics of words aren't judged (null) where the text is damaged by a wrong encoding or has no words.
+Statistics of words aren't judged (null) where the text is damaged by a wrong encoding or has fewer than LETTERS letters;
+symbols and the longest word are judged with few letters too.
 
 Defined results: null, empty and blank texts have null statistics and are no case; rows delivered twice count once;
 languages with few texts use what their own sketch gives, with the floors; further columns are ignored.
@@ -46,6 +48,8 @@ TAILS = {"common": (True, 0.06), "richness": (True, 0.05), "ends": (True, 0.25),
 JUDGED = tuple(s for s in TAILS if s != "structure")
 #: Robust z from which a structure share, and any other statistic, lies in the tail.
 STRUCTURE_Z, TAIL_Z = 5.0, 3.0
+#: Letters from which statistics of words are judged.
+LETTERS = 8
 #: Letters, digits and the full stop, which have full-width forms.
 PLAIN = [46, *range(48, 58), *range(65, 91), *range(97, 123)]
 END = r"[.!?…。！？؟।；;:：][\"”’»)\]）」』]*\s*$"
@@ -101,8 +105,9 @@ def _structured(line: Column) -> Column:
 
 
 def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(key, lang, n_chars, n_words, word_length, symbols, line_ends, common, ends, richness, voiceless, longest, structure) of each text
-    that isn't blank. lang: a column with what is known of the language, may be null."""
+    """(key, lang, n_chars, n_words, word_length, symbols, line_ends, common, ends, richness, voiceless, longest, structure,
+    bare) of each text that isn't blank. bare: has it no words, or few letters among mostly other characters? lang: a
+    column with what is known of the language, may be null."""
     rows = df.select(F.col(key).alias("key"), F.col(lang).alias("said"), _plain(F.col(text)).alias("t")).where(r"t rlike '\\S'")
     # without ASCII letters and spaces little of most texts is left to look at
     rows = rows.withColumn("rest", F.regexp_replace("t", "[A-Za-z ]+", "")).withColumn("seen", F.greatest(F.length(F.replace("t", F.lit(" "), F.lit(""))), F.lit(1)))
@@ -131,7 +136,8 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     # what wrong decoding leaves behind; such words aren't judged
     rows = rows.withColumn("rest", F.when(F.col("latin") & (F.col("n_ru") + F.col("n_el") > 0), F.regexp_replace("t", "[A-Za-z ]+", "")).otherwise(F.col("rest")))
     broken = F.col("rest").rlike(r"[^\x00-\x7F]") & (_count(F.col("rest"), r"[\x{80}-\x{9F}\x{A1}-\x{A9}\x{AC}-\x{B8}\x{BC}-\x{BE}\x{C2}\x{C3}\x{D0}-\x{D7}\x{DE}\x{FFFD}\x{2500}-\x{25FF}ÎÏØÙ†‡ˆ‰Œ√∂∞≠ΓÇ]") > seen * 0.06)
-    broken = broken & ~F.col("t").rlike(r"[│┃]")
+    # one or two characters again and again are a filler, not damage
+    broken = broken & ~F.col("t").rlike(r"[│┃]") & ~F.col("t").rlike(r"^\s*+([^\s\x{FFFD}])\s*+([^\s\x{FFFD}])(?:\s|\1|\2){6,}+$")
     rows = rows.withColumn("broken", broken)
     common = reduce(lambda a, k: a.when(F.col("lang") == k, F.col(f"c_{k}") / F.greatest("n_words", F.lit(1))), COMMON, F.when(F.lit(False), F.lit(0.0)))
     common = reduce(lambda a, k: a.when(F.col("lang") == k, _count(F.col("t"), FUNCTION[k]) / F.col("letters")), FUNCTION, common)
@@ -139,7 +145,9 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     rows = rows.withColumn("t_lines", F.when(F.col("broken"), F.regexp_replace("t", r"[^\x00-\x7F]", "x")).otherwise(F.col("t")))
     rows = rows.withColumn("lines", F.expr(r"filter(transform(split(t_lines, '\n'), x -> trim(BOTH ' \t\r' FROM x)), x -> x != '')"))
     size = F.greatest(F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)), F.lit(1))
-    judged = lambda c: F.when(~F.col("broken") & (F.col("letters") >= 8), c)
+    sound = lambda c: F.when(~F.col("broken"), c)
+    judged = lambda c: F.when(~F.col("broken") & (F.col("letters") >= LETTERS), c)
+    bare = F.when(F.col("n_words") == 0, True).when(F.col("letters") < LETTERS, (F.col("letters") + _chars(F.col("rest"), r"\p{N}")) * 2 < F.col("seen")).otherwise(False)
     without_spaces = F.col("lang").isin("zh", "ja", "th")
     return rows.select(
         "key",
@@ -147,14 +155,15 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         F.length("t").alias("n_chars"),
         "n_words",
         judged(F.when(without_spaces, None).otherwise(F.col("letters") / F.greatest("n_words", F.lit(1)))).alias("word_length"),
-        judged(_chars(F.col("rest"), r"[^\p{L}\p{M}\s.,!?;:'\"’“”«»()¿¡。，、！？：；（）「」؟،।…–—-]") / F.col("seen")).alias("symbols"),
+        sound(_chars(F.col("rest"), r"[^\p{L}\p{M}\s.,!?;:'\"’“”«»()¿¡。，、！？：；（）「」؟،।…–—-]") / F.col("seen")).alias("symbols"),
         (F.size(F.filter("lines", _ends)) / F.greatest(F.size("lines"), F.lit(1))).alias("line_ends"),
         judged(common).alias("common"),
         judged(F.when(F.col("lang") == "th", None).otherwise(100 * _count(F.col("t"), r"[.!?…;。！？؟।](?:(?<=[。！？؟।])|(?<=[\p{L}\p{M}\p{N}%\"”’»)].)(?=[\s\"”’»)」』）]|$))") / F.col("letters"))).alias("ends"),
         judged(F.when(F.col("n_words") >= 8, F.log(F.size(F.array_distinct("w"))) / F.log(F.col("n_words")))).alias("richness"),
         judged(F.when(F.col("latin") & (F.coalesce(F.greatest(*(F.col(f"c_{k}") for k in LATIN)), F.lit(0)) > F.col("n_words") * 0.15), 0.0).when(F.col("latin"), F.size(F.filter("w", lambda x: ~x.rlike("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ]") & (F.length(x) > 1))) / F.greatest("n_words", F.lit(1)))).alias("voiceless"),
-        judged(F.when(~without_spaces, F.array_max(F.transform(F.split("t", r"\s+"), lambda x: F.length(x))))).cast("double").alias("longest"),
+        sound(F.when(~without_spaces, F.array_max(F.transform(F.split("t", r"\s+"), lambda x: F.length(x))))).cast("double").alias("longest"),
         (F.aggregate(F.filter("lines", _structured), F.lit(0), lambda a, x: a + F.length(x)) / size).alias("structure"),
+        F.coalesce(sound(bare), F.lit(False)).alias("bare"),
     )
 
 
@@ -187,7 +196,8 @@ def scored(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     ended = F.coalesce(-F.col("z_ends"), F.lit(0.0))
     total = total - F.when(F.coalesce(F.col("z_symbols"), F.lit(0.0)) < 5, 2 * F.greatest(F.least(ended, F.lit(4.0)), F.lit(0.0))).otherwise(0.0)
     total = F.when((F.col("n_words") >= 8) | F.col("lang").isin(*FUNCTION) | (F.coalesce(F.col("z_longest"), F.lit(0.0)) > TAIL_Z), total).otherwise(0.0)
-    return z.withColumn("tails", tails).withColumn("total", total).withColumn("junk", (F.col("z_structure") > STRUCTURE_Z) | ((F.col("tails") >= 2) & (F.col("total") > 9)) | ((F.col("tails") >= 1) & (F.col("total") > 10.5)))
+    filler = F.col("bare") & ((F.col("n_words") == 0) | (F.coalesce(F.greatest("z_symbols", "z_longest"), F.lit(0.0)) > TAIL_Z))
+    return z.withColumn("tails", tails).withColumn("total", total).withColumn("junk", filler | (F.col("z_structure") > STRUCTURE_Z) | ((F.col("tails") >= 2) & (F.col("total") > 9)) | ((F.col("tails") >= 1) & (F.col("total") > 10.5)))
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,6 +29,14 @@ def test_p1_junk(spark):
     assert p1.scored(df.where("id < 0"), "id", "body", "lang").count() == 0
 
 
+def test_p1_fillers(spark):
+    prose = [(k, f"The pump near the old mill was repaired in {1900 + k} by a man who had come from the town. It was not the last of them.", "en") for k in range(30)]
+    fillers = ["#-" * 60, "*" * 120, "_" * 90, "=" * 50, "~^" * 40, "-" * 95, "!" * 20, "─" * 60, "☎️" * 20, "#-" * 30 + " a " + "#-" * 30]
+    sound = ["In 1905.", "Yes.", "«Oh!»", "Nein!", "���� ���� ��� �����."]
+    df = spark.createDataFrame([*prose, *((100 + k, t, "en") for k, t in enumerate(fillers)), *((200 + k, t, "en") for k, t in enumerate(sound))], "id bigint, body string, lang string")
+    assert {r.key for r in p1.scored(df, "id", "body", "lang").where("junk").collect()} == set(range(100, 100 + len(fillers)))
+
+
 @pytest.mark.parametrize("a,b,same", [("café", "café", True), ("Ａ１", "A1", True), ("a b", "a b", True), ("pаy", "pay", True), ("ﬁn", "fin", True), ("co­op​", "coop", True), ("x²", "x2", False), ("①", "1", False), ("½", "1/2", False), ("a", "A", False), ("e", "é", False), ("a‑b", "a-b", True)])
 def test_p2_form(a, b, same):
     assert (p2.form(a) == p2.form(b)) == same
