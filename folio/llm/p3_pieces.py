@@ -8,7 +8,8 @@ the places reached doubles the number of cuts known in each round, so an item wi
 no step depends on the piece before it.
 
 Each piece is at most ``size`` code points long; consecutive pieces share exactly the overlap; pieces cover the whole
-text. An overlap of more than half the size is lowered to that half (a title's limit may be below the overlap).
+text. Any overlap below the size is kept; one at or above it, with which no piece could get ahead of the one before (a
+title's limit may be below the overlap), is lowered to half the size.
 
 Defined results: a null item gives no piece, an empty one or one within the limit gives itself; a limit that is
 missing or below 2 counts as none (the item stays whole); rows delivered twice count once; further columns are ignored.
@@ -51,12 +52,14 @@ def cuts(texts: list[str], sizes: list[int], overlaps: list[int]) -> list[np.nda
     # the first piece has no piece before it to overlap with
     room = np.where(at_start, np.repeat(np.array(sizes), lengths + 1), room)
     far = np.minimum(places + room, last)
-    near = places + np.maximum(room // 2, 1)
+    # the second piece begins the overlap before the first one's end, behind the start of the text
+    low = np.where(at_start, places + np.repeat(np.array(overlaps), lengths + 1), places)
+    near = np.maximum(places + room // 2, low + 1)
     joins = np.zeros(len(whole) + 1, bool)
     for m in _MARK.finditer(whole):
         joins[m.start()] = True
     free = np.maximum.accumulate(np.where(joins[:-1], 0, places))
-    nxt = np.where(free[far] > places, free[far], far)
+    nxt = np.where(free[far] > low, free[far], far)
     for tier in reversed(TIERS):
         marks = np.array([m.end() for m in tier.finditer(whole)], np.int64)
         if len(marks):
@@ -87,8 +90,8 @@ def _split(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Series
         if not limit or len(t) <= limit:
             out[k] = [{"piece_no": 0, "start_at": 0, "end_at": len(t), "piece": t}]
         else:
-            shared = int(overlap) if overlap is not None and overlap == overlap else 0
-            long.append((k, t, limit, min(max(shared, 0), limit // 2)))
+            shared = max(int(overlap), 0) if overlap is not None and overlap == overlap else 0
+            long.append((k, t, limit, shared if shared < limit else limit // 2))
     held: list = []
     while long or held:
         if long:

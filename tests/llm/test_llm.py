@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,17 @@ def test_p3_pieces(spark, size, overlap):
     assert df.limit(1).select(p3.pieces(F.lit("abc"), F.lit(None).cast("int"), F.lit(0)).alias("p")).first().p[0].piece == "abc"
 
 
+@pytest.mark.parametrize("size,overlap", [(60, 48), (80, 60), (20, 19), (20, 10), (3, 2)])
+def test_p3_keeps_overlap(size, overlap):
+    random.seed(size)
+    values = ["".join(random.choice("abcd .\né\u0301") for _ in range(n)) for n in (size + 1, 200, 500)] + ["a" * (size // 2) + ". " + "b" * 300, "a" + "\u0301" * 200]
+    for text, pieces in zip(values, p3._split(pd.Series(values), pd.Series([size] * 5), pd.Series([overlap] * 5))):
+        assert (pieces[0]["start_at"], pieces[-1]["end_at"]) == (0, len(text))
+        for a, b in zip(pieces, pieces[1:]):
+            assert b["start_at"] == a["end_at"] - overlap and b["start_at"] > a["start_at"] and b["end_at"] > a["end_at"]
+        assert all(x["piece"] == text[x["start_at"] : x["end_at"]] and len(x["piece"]) <= size for x in pieces)
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
