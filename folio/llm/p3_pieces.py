@@ -2,7 +2,8 @@
 
 Every place of an item (each code point) is a node. Its successor is the farthest place at which a piece that starts
 ``overlap`` code points before it may end: the last paragraph end in the farther half of the piece, else the last
-sentence end there, else the last white space, else the last place that doesn't part a character from its marks. The
+sentence end there, else the last white space, else the last such boundary in the nearer half that gets ahead, else the
+last place that doesn't part a character from its marks. The
 successors of all places of a batch are found with sorted searches at once; squaring the successor table and adding
 the places reached doubles the number of cuts known in each round, so an item with n pieces takes log2(n) rounds and
 no step depends on the piece before it.
@@ -60,12 +61,12 @@ def cuts(texts: list[str], sizes: list[int], overlaps: list[int]) -> list[np.nda
         joins[m.start()] = True
     free = np.maximum.accumulate(np.where(joins[:-1], 0, places))
     nxt = np.where(free[far] > low, free[far], far)
-    for tier in reversed(TIERS):
-        marks = np.array([m.end() for m in tier.finditer(whole)], np.int64)
+    tiers = [np.array([m.end() for m in tier.finditer(whole)], np.int64) for tier in reversed(TIERS)]
+    for marks, least in ((np.unique(np.concatenate(tiers)), low + 1), *((m, near) for m in tiers)):
         if len(marks):
             k = np.searchsorted(marks, far, "right") - 1
             found = np.where(k >= 0, marks[np.maximum(k, 0)], -1)
-            nxt = np.where((found >= near) & (found <= far), found, nxt)
+            nxt = np.where((found >= least) & (found <= far), found, nxt)
     nxt = np.where(places + room >= last, last, nxt)
     reached = np.zeros(len(whole), bool)
     reached[nxt[starts]] = True

@@ -79,6 +79,14 @@ def test_p3_keeps_overlap(size, overlap):
         assert all(x["piece"] == text[x["start_at"] : x["end_at"]] and len(x["piece"]) <= size for x in pieces)
 
 
+def test_p3_boundary_in_nearer_half():
+    text = "ab cd " + "x" * 17 + " ef"
+    (pieces,) = p3._split(pd.Series([text]), pd.Series([20]), pd.Series([0]))
+    assert [p["piece"] for p in pieces] == ["ab cd ", "x" * 17 + " ef"]
+    (pieces,) = p3._split(pd.Series([text]), pd.Series([20]), pd.Series([6]))
+    assert [p["end_at"] for p in pieces] == [20, 26]  # a cut at 6 wouldn't get ahead of the overlap
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
