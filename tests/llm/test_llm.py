@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,19 @@ def test_p5_round_trip():
     assert lost.tolist().index(True) == 4
 
 
+def test_p5_fits_all_rows(spark):
+    random.seed(2)
+    values = ["".join(random.choice("abc éñЖ\n") for _ in range(random.randrange(12))) for _ in range(900)] + ["only here ŵŷ", "and here ŵŷ", "once ẁẃ"]
+    df = spark.createDataFrame([*enumerate(values), (0, values[0]), (-1, None)], "id bigint, body string").repartition(3)
+    got, few, want = p5.fitted(df, "id", "body"), p5.fitted(df, "id", "body", 90), p5.fit(values)
+    for name in ("chars", "total", "single", "pairs", "score"):
+        assert np.array_equal(getattr(got, name), getattr(want, name)), name
+    # more rows than wanted: all are counted, with less weight, but what stands only once proves nothing
+    assert np.array_equal(few.chars, want.chars) and np.allclose(few.total, want.total * 90 / 905)
+    assert (ord("ŵ") << 21 | ord("ŷ")) in few.pairs and (ord("ẁ") << 21 | ord("ẃ")) not in few.pairs
+    assert p5.fitted(df.where("id < 0"), "id", "body").total.sum() == 2
+
+
 def test_p6_against_library(spark):
     from tokenizers import Tokenizer
 
