@@ -113,23 +113,26 @@ def tiles(item: list[str], doc: list[str], places: dict[tuple, list[int]], least
 def passages(marked: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens held, place in the document): tiles joined where the gaps in both texts are small."""
     out: list[list[int]] = []  # start, end, held, place, end in the document
+    ending = defaultdict(list)  # by end in the item
     for i, d, n in sorted(marked):
         best = None
-        for p in reversed(out[-8:]):
+        for p in (p for end in range(i, i - GAP - 1, -1) for p in reversed(ending[end])):
             gap_i, gap_d = i - p[1], d - p[4]
             if 0 <= gap_i <= GAP and 0 <= gap_d <= GAP and (i + n - p[0] - p[2] - n) <= max(1, SLACK * (i + n - p[0]) + 0.999):
                 best = p
                 break
         if best:
+            ending[best[1]].remove(best)
             best[1], best[2], best[4] = i + n, best[2] + n, d + n
         else:
-            out.append([i, i + n, n, d, d + n])
+            best = [i, i + n, n, d, d + n]
+            out.append(best)
+        ending[best[1]].append(best)
     return [(s, e, held, d) for s, e, held, d, _ in out]
 
 
 def held(found: list[tuple[int, int, int, int]]) -> int:
     """The most item tokens in one passage or two in the item's order, with the tolerated gaps."""
-    found = sorted(found, key=lambda p: p[0] - p[1])[:24]
     best = max((e - s for s, e, _, _ in found), default=0)
     for a in found:
         for b in found:

@@ -166,6 +166,15 @@ def test_p7(spark):
     assert sorted({(r.doc_id, r.item_id) for r in p7.leaks(df, items).collect()}) == [(1, 9), (2, 9), (4, 9)]
 
 
+def test_p7_many_passages():
+    # thirty scattered passages of the same length, the two that stand in order far behind the others
+    scattered = [(10 * k, 10 * k + 8, 8, 1000 - 10 * k) for k in range(30)]
+    assert p7.held([*scattered, (400, 407, 7, 2000)]) == 15
+    # a tile that goes on the passage ten tiles before it in the list
+    tiles = [(0, 0, 6), *((6, 1000 - 20 * k, 2) for k in range(10)), (8, 8, 6)]
+    assert (0, 14, 12, 0) in p7.passages(tiles)
+
+
 def brute(docs, span):
     seen = {}
     for k, t in docs.items():
