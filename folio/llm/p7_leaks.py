@@ -1,7 +1,8 @@
 """Problem 7: evaluation texts leaking into training text, by greedy string tiling.
 
 Tokens are the words of a text in lower case (letters, marks, digits); in scripts without spaces each character is one.
-Seeds are the hashes of SEED consecutive tokens that a document and an item share. As up to one word in ten may differ
+Seeds are the hashes of consecutive tokens that a document and an item share, as many as the longest run of any held
+half has at least, by the item's length, the tolerated errors and two passages, and at most SEED. As up to one word in ten may differ
 and there are at most two passages, a lower bound follows for the item's tokens that seeds must cover in a pair that
 counts; other pairs are dropped after one partial aggregation. For the pairs left, matches are found by running
 Karp-Rabin over short token grams, and the longest ones that don't overlap are marked, again and again. Marked tiles
@@ -9,8 +10,7 @@ that follow each other in both texts with small gaps make a passage. The two bes
 hold at least half of the item's tokens.
 
 Defined results: null and empty texts match nothing; an item delivered twice and a document delivered twice count
-once; items of fewer than SEED tokens
-have no seed and match nothing; further columns are ignored.
+once; single tokens prove nothing, so that items of fewer than five tokens are found only by two in a row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from folio.session import table
 
+#: Tokens of the longest seed.
 SEED = 6
 #: Tokens of the shortest tile.
 TILE = 2
@@ -43,30 +44,41 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def _seeds(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, h, at): hash and place of each run of ``size`` tokens of the column w."""
-    hashes = df.select(key, F.transform("w", lambda w: F.xxhash64(w)).alias("x"))
-    runs = F.when(F.size("x") >= size, F.expr(f"transform(sequence(0, size(x) - {size}), i -> xxhash64({', '.join(f'x[i + {k}]' for k in range(size))}))"))
-    return hashes.select(key, F.posexplode(runs).alias("at", "h"))
+def seed_size(n: Column | str) -> Column:
+    """Tokens that the longest run has at least, however errors and two passages part any held half of n tokens."""
+    runs = f"ceil((m - floor(m * {SLACK})) / (floor(m * {SLACK}) + 2))"
+    return F.expr(f"cast(greatest({TILE}, least({SEED}, array_min(transform(sequence(cast(ceil({n} * {COVER}) as int), {n}), m -> {runs})))) as int)")
 
 
-def candidates(docs: DataFrame, items: DataFrame, size: int = SEED) -> DataFrame:
-    """(doc_id, item_id) of the pairs whose shared seeds cover enough of the item. docs and items have the column w."""
-    seeds = _seeds(items, "item_id", size)
-    lengths = items.select("item_id", F.size("w").alias("n"))
-    half, lost = F.ceil(F.col("n") * COVER), F.floor(F.ceil(F.col("n") * COVER) * SLACK)
-    # each error and the second passage cut the tokens held into one more run; of all runs but one, size - 1 tokens may be too few for a seed
-    lengths = lengths.withColumn("least", F.greatest(F.lit(1), half - lost - (size - 1) * (lost + 1) - (size - 1)))
+def _hashes(df: DataFrame, *kept: str) -> DataFrame:
+    return df.select(*kept, F.transform("w", lambda w: F.xxhash64(w)).alias("x"))
+
+
+def _runs(size: int) -> Column:
+    """Hash of each run of ``size`` tokens, of the token hashes x."""
+    return F.expr(f"if(size(x) >= {size}, transform(sequence(0, size(x) - {size}), i -> xxhash64({', '.join(f'x[i + {k}]' for k in range(size))})), cast(array() as array<bigint>))")
+
+
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of the pairs whose shared seeds cover enough of the item. docs and items have the column w, items
+    their seed's size too. The sizes are a handful of numbers up to SEED."""
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect()) or [SEED]
+    own = F.coalesce(*(F.when(F.col("size") == k, _runs(k)) for k in sizes))
+    seeds = _hashes(items, "item_id", "size").select("item_id", F.posexplode(own).alias("at", "h"))
+    # each error and the second passage cut the tokens held into one more run; of each run size - 1 tokens may be too few for a seed
+    least = f"array_min(transform(sequence(cast(ceil(n * {COVER}) as int), n), m -> m - floor(m * {SLACK}) - (size - 1) * (floor(m * {SLACK}) + 2)))"
+    lengths = items.select("item_id", "size", F.size("w").alias("n")).select("item_id", F.expr(f"greatest(1, {least})").alias("least"))
     if seeds.count() <= BROADCAST_SEEDS:
         seeds, lengths = F.broadcast(seeds), F.broadcast(lengths)
-    pairs = _seeds(docs, "doc_id", size).select("doc_id", "h").join(seeds, "h").groupBy("doc_id", "item_id", "at").agg(F.lit(1).alias("one"))
+    of_docs = _hashes(docs, "doc_id").select("doc_id", F.explode(F.concat(*map(_runs, sizes))).alias("h"))
+    pairs = of_docs.join(seeds, "h").groupBy("doc_id", "item_id", "at").agg(F.lit(1).alias("one"))
     counts = pairs.groupBy("doc_id", "item_id").agg(F.count("*").alias("covered"))
     return counts.join(lengths, "item_id").where("covered >= least").select("doc_id", "item_id")
 
 
-def tiles(item: list[str], doc: list[str], places: dict[tuple, list[int]], least: int = TILE) -> list[tuple[int, int, int]]:
-    """Marked matches (place in the item, place in the document, tokens), longest first. places: of the document's grams
-    of ``least`` tokens."""
+def tiles(item: list[str], doc: list[str], places: dict[tuple, list[int]], seed: int = SEED, least: int = TILE) -> list[tuple[int, int, int]]:
+    """Marked matches (place in the item, place in the document, tokens), longest first; those shorter than a seed only beside
+    longer ones. places: of the document's grams of ``least`` tokens."""
     runs: list[tuple[int, int, int]] = []
     open_at: dict[int, tuple[int, int]] = {}
     for i in range(len(item) - least + 1):
@@ -79,8 +91,8 @@ def tiles(item: list[str], doc: list[str], places: dict[tuple, list[int]], least
     runs += [(s, s + k, n) for k, (s, n) in open_at.items()]
     used_i, used_d, marked = bytearray(len(item)), set(), []
     diagonals: list[int] = []
-    long = sorted((r for r in runs if r[2] >= SEED), key=lambda r: -r[2])
-    short = [r for r in runs if r[2] < SEED]
+    long = sorted((r for r in runs if r[2] >= seed), key=lambda r: -r[2])
+    short = [r for r in runs if r[2] < seed]
 
     def mark(i: int, d: int, n: int) -> None:
         free = 0
@@ -131,22 +143,38 @@ def passages(marked: list[tuple[int, int, int]]) -> list[tuple[int, int, int, in
     return [(s, e, held, d) for s, e, held, d, _ in out]
 
 
-def held(found: list[tuple[int, int, int, int]]) -> int:
-    """The most item tokens in one passage or two in the item's order, with the tolerated gaps."""
-    best = max((e - s for s, e, _, _ in found), default=0)
-    for a in found:
+def spans(marked: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The same of each run of tiles with small gaps, from any tile to any later one."""
+    out, ordered = [], sorted(marked)
+    for k, (i, d, n) in enumerate(ordered):
+        end, end_d, size = i + n, d + n, n
+        out.append((i, end, size, d))
+        for i2, d2, n2 in ordered[k + 1 :]:
+            if 0 <= i2 - end <= GAP and 0 <= d2 - end_d <= GAP:
+                end, end_d, size = i2 + n2, d2 + n2, size + n2
+                out.append((i, end, size, d))
+    return out
+
+
+def held(found: list[tuple[int, int, int, int]], slack: float = 1.0) -> int:
+    """The most item tokens in one passage or two in the item's order, with the tolerated gaps: of the tokens together at
+    most the share ``slack``."""
+    best = 0
+    for a in [(0, 0, 0, -1), *found]:
         for b in found:
-            if a[1] <= b[0] and a[3] < b[3]:
-                best = max(best, a[1] - a[0] + b[1] - b[0])
+            size = a[1] - a[0] + b[1] - b[0]
+            if size > best and a[1] <= b[0] and a[3] < b[3] and size - a[2] - b[2] <= slack * size + 1e-9:
+                best = size
     return best
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share): the documents that hold at least COVER of an item, and how much of it."""
     docs = docs.select(F.col("doc_id"), F.col("text"))
-    items = items.select("item_id", tokens(F.col("text")).alias("w")).dropDuplicates(["item_id"])
+    items = items.select("item_id", tokens(F.col("text")).alias("w")).dropDuplicates(["item_id"]).where("size(w) > 0")
+    items = items.withColumn("n", F.size("w")).withColumn("size", seed_size("n")).drop("n")
     pairs = candidates(docs.select("doc_id", tokens(F.col("text")).alias("w")), items)
-    wanted = pairs.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "w")).alias("items"))
+    wanted = pairs.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "w", "size")).alias("items"))
     both = wanted.join(docs, "doc_id").select("doc_id", "items", tokens(F.col("text")).alias("w"))
 
     def run(batches):
@@ -160,6 +188,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 for x in items_of:
                     item = list(x["w"])
                     share = held(passages(tiles(item, words, places))) / len(item)
+                    if share < COVER and x["size"] < SEED:  # shorter runs prove less: no gap beyond the tolerated ones
+                        share = held(spans(tiles(item, words, places, x["size"])), SLACK) / len(item)
                     if share >= COVER:
                         rows.append((doc_id, x["item_id"], share))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share"])

@@ -166,6 +166,17 @@ def test_p7(spark):
     assert sorted({(r.doc_id, r.item_id) for r in p7.leaks(df, items).collect()}) == [(1, 9), (2, 9), (4, 9)]
 
 
+def test_p7_short_runs(spark):
+    w = [f"w{k}" for k in range(40)]
+    apart = lambda a, at: " ".join(w[a : a + at] + ["zzz"] + w[a + at + 1 : a + 10])
+    docs = [(1, apart(0, 4) + " some filler text between them and more " + apart(20, 5)), (2, "x a1 a2 a3 y"), (3, " ".join(w[3:7]) + " u v x y z " + " ".join(w[20:24]))]
+    items = spark.createDataFrame([(7, ""), (8, "a0 a1 a2 a3 a4"), (9, " ".join(w))], "item_id bigint, text string")
+    got = p7.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 9), (2, 8)]
+    sizes = spark.createDataFrame([(5,), (20,), (40,), (100,)], "n int").select(p7.seed_size("n"))
+    assert [r[0] for r in sizes.collect()] == [2, 3, 5, 6]
+
+
 def test_p7_many_passages():
     # thirty scattered passages of the same length, the two that stand in order far behind the others
     scattered = [(10 * k, 10 * k + 8, 8, 1000 - 10 * k) for k in range(30)]
