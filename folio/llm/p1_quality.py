@@ -10,7 +10,8 @@ word statistics several lie in their junk tails. Fillers have few letters or non
 one of mostly other characters if its symbols or its longest word lie in the tail.
 
 Statistics of words aren't judged (null) where the text is damaged by a wrong encoding or has fewer than LETTERS letters;
-symbols and the longest word are judged with few letters too.
+symbols and the longest word are judged with few letters too. The number of words and the share of line ends get their
+sketch and z like the others but have no part in the verdict, as prose may be short or cut off.
 
 Defined results: null, empty and blank texts have null statistics and are no case; rows delivered twice count once;
 languages with few texts use what their own sketch gives, with the floors; further columns are ignored.
@@ -46,6 +47,8 @@ LATIN = ("en", "de", "fr", "es", "pt")
 #: statistic: (is junk below the median?, least spread)
 TAILS = {"common": (True, 0.06), "richness": (True, 0.05), "ends": (True, 0.25), "word_length": (False, 0.7), "symbols": (False, 0.03), "voiceless": (False, 0.06), "longest": (False, 12.0), "structure": (False, 0.1)}
 JUDGED = tuple(s for s in TAILS if s != "structure")
+#: The same of statistics that get a sketch and a z but have no part in the verdict.
+SHOWN = {"n_words": (True, 8.0), "line_ends": (True, 0.25)}
 #: Robust z from which a structure share, and any other statistic, lies in the tail.
 STRUCTURE_Z, TAIL_Z = 5.0, 3.0
 #: Letters from which statistics of words are judged.
@@ -169,19 +172,19 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
 
 def sketches(stats: DataFrame) -> DataFrame:
     """A KLL sketch of each statistic, by language. Sketches of parts of the data merge with kll_sketch_merge_double."""
-    return stats.groupBy("lang").agg(*(F.expr(f"kll_sketch_agg_double(cast({s} as double))").alias(s) for s in TAILS))
+    return stats.groupBy("lang").agg(*(F.expr(f"kll_sketch_agg_double(cast({s} as double))").alias(s) for s in (*TAILS, *SHOWN)))
 
 
 def robust_z(stats: DataFrame, sketched: DataFrame) -> DataFrame:
     """Adds z_<statistic>: how far a value lies in the junk direction. The sketches are one row a language, and languages
     are a fixed list, so that table is broadcast."""
     norms = []
-    for s, (low, least) in TAILS.items():
+    for s, (low, least) in (TAILS | SHOWN).items():
         q = lambda r, s=s: f"kll_sketch_get_quantile_double({s}, {r})"
         spread = f"({q(0.85)} - {q(0.5)})" if low else f"({q(0.5)} - {q(0.15)})"
         norms += [F.expr(f"if(kll_sketch_get_n_double({s}) > 0, {q(0.5)}, null)").alias(f"m_{s}"), F.expr(f"if(kll_sketch_get_n_double({s}) > 0, greatest({spread}, {least}D), null)").alias(f"s_{s}")]
     out = stats.join(F.broadcast(sketched.select("lang", *norms)), "lang")
-    return out.withColumns({f"z_{s}": ((F.col(f"m_{s}") - F.col(s)) if low else (F.col(s) - F.col(f"m_{s}"))) / F.col(f"s_{s}") for s, (low, _) in TAILS.items()})
+    return out.withColumns({f"z_{s}": ((F.col(f"m_{s}") - F.col(s)) if low else (F.col(s) - F.col(f"m_{s}"))) / F.col(f"s_{s}") for s, (low, _) in (TAILS | SHOWN).items()})
 
 
 def scored(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:

@@ -39,6 +39,13 @@ def test_p1_fillers(spark):
     assert {r.key for r in p1.scored(df, "id", "body", "lang").where("junk").collect()} == set(range(100, 100 + len(fillers)))
 
 
+def test_p1_every_statistic_has_z(spark):
+    rows = [(k, "The pump was repaired by a man from the town.\n" * 3, "en") for k in range(20)] + [(99, "The pump was\nrepaired by", "en")]
+    got = p1.scored(spark.createDataFrame(rows, "id bigint, body string, lang string"), "id", "body", "lang")
+    z = {r.key: (r.z_n_words, r.z_line_ends) for r in got.collect()}
+    assert z[0] == (0.0, 0.0) and z[99] == ((30 - 5) / 8, 4.0)
+
+
 @pytest.mark.parametrize("a,b,same", [("café", "café", True), ("Ａ１", "A1", True), ("a b", "a b", True), ("pаy", "pay", True), ("ﬁn", "fin", True), ("co­op​", "coop", True), ("x²", "x2", False), ("①", "1", False), ("½", "1/2", False), ("a", "A", False), ("e", "é", False), ("a‑b", "a-b", True)])
 def test_p2_form(a, b, same):
     assert (p2.form(a) == p2.form(b)) == same
