@@ -42,7 +42,8 @@ COMMON = {
 }
 # Characters and words that sentences of languages without spaces can't do without.
 FUNCTION = {"zh": "[了是在和把就也着那这不但所比说]", "ja": "[はをがにでとた]", "th": "(?:ที่|ได้|นี้|ใน|ว่า|ไม่|มา)"}
-SCRIPTS = {"th": r"\p{IsThai}", "ar": r"\p{IsArabic}", "hi": r"\p{IsDevanagari}", "el": r"\p{IsGreek}", "ru": r"\p{IsCyrillic}", "ja": r"[\p{IsHiragana}\p{IsKatakana}]", "zh": r"\p{IsHan}"}
+#: By language: its script. The order is the one in which letters are taken out of a text.
+SCRIPTS = {"ru": r"\p{IsCyrillic}", "zh": r"\p{IsHan}", "ja": r"\p{IsHiragana}\p{IsKatakana}", "ar": r"\p{IsArabic}", "hi": r"\p{IsDevanagari}", "el": r"\p{IsGreek}", "th": r"\p{IsThai}"}
 LATIN = ("en", "de", "fr", "es", "pt")
 #: statistic: (is junk below the median?, least spread)
 TAILS = {"common": (True, 0.06), "richness": (True, 0.05), "ends": (True, 0.25), "word_length": (False, 0.7), "symbols": (False, 0.03), "voiceless": (False, 0.06), "longest": (False, 12.0), "structure": (False, 0.1)}
@@ -58,13 +59,16 @@ PLAIN = [46, *range(48, 58), *range(65, 91), *range(97, 123)]
 END = r"[.!?…。！？؟।；;:：][\"”’»)\]）」』]*\s*$"
 
 
+# Kinds of space, characters that are not seen, and full-width letters, digits and full stop.
+SPACES, UNSEEN, WIDE = r"\x{A0}\x{2002}\x{2003}\x{2005}\x{2007}\x{2009}\x{202F}\x{3000}", r"\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}", r"\x{FF0E}\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}"
+
+
 def _plain(text: Column) -> Column:
     """In ordinary widths and spaces, without what is not seen."""
-    wide = "".join(chr(k + 0xFEE0) for k in PLAIN)
-    spaces = "\u00a0\u2002\u2003\u2005\u2007\u2009\u202f\u3000"
-    unseen = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-    plain = F.translate(text, wide + spaces + unseen, "".join(map(chr, PLAIN)) + " " * len(spaces))
-    return F.when(text.rlike(r"[\x{A0}\x{AD}\x{2002}-\x{200D}\x{202F}\x{2060}\x{3000}\x{FEFF}\x{FF0E}\x{FF10}-\x{FF5A}]"), plain).otherwise(text)
+    t = F.regexp_replace(F.regexp_replace(text, f"[{SPACES}]", " "), f"[{UNSEEN}]+", "")
+    # a translation looks every character up
+    wide = F.translate(t, "".join(chr(k + 0xFEE0) for k in PLAIN), "".join(map(chr, PLAIN)))
+    return F.when(text.rlike(f"[{WIDE}]"), wide).otherwise(t)
 
 
 def _looks(text: Column) -> Column:
@@ -76,10 +80,6 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-#: What a line of a table, menu or contents has, before it is looked at more closely.
-HINT = r"[\t│┃|;,/»·•›>…]|\.{4}|(?:\. ){4}|\S {2,}\S"
-
-
 def _ends(line: Column) -> Column:
     """Does a line end in punctuation? Only its last characters are looked at."""
     return F.substring(line, -6, 6).rlike(END)
@@ -90,11 +90,15 @@ def _chars(text: Column, kind: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, F.lit(kind + "+"), F.lit("")))
 
 
-def _structured(line: Column) -> Column:
+def _structured(line: Column, ended: Column) -> Column:
     """Is a line, without white space around it, one of a list, table, menu or contents? Written as a chain of cases, so
     that an ordinary line of prose costs two patterns."""
-    contents = line.rlike(r"\.{4,}|(?:\. ){4,}|…{2,}\s*\p{N}")
-    cells = line.rlike(r"\t|^[│|┃].*[│|┃]\s*$|\S {2,}\S.*\S {2,}\S|^[^;\s]+(?: [^;\s]+)?(?:;[^;\s]+(?: [^;\s]+)?){2,}$|^[^,\s]{1,24}(?: [^,\s]{1,24})?(?:,[^,\s]{1,20}){2,}(?<![.!?])$")
+    # a search for a string is far cheaper than a pattern, and an anchored pattern fails at once
+    has = lambda *strings: reduce(lambda a, b: a | b, (F.contains(line, F.lit(x)) for x in strings))
+    contents = has("....", ". . . . ", "……") & line.rlike(r"\.{4,}|(?:\. ){4,}|…{2,}\s*\p{N}")
+    cells = has("\t") | line.rlike(r"^[│|┃].*[│|┃]\s*$") | (has("  ") & line.rlike(r"\S {2,}\S.*\S {2,}\S"))
+    lists = (has(";") & line.rlike(r"^[^;\s]+(?: [^;\s]+)?(?:;[^;\s]+(?: [^;\s]+)?){2,}$")) | (has(",") & line.rlike(r"^[^,\s]{1,24}(?: [^,\s]{1,24})?(?:,[^,\s]{1,20}){2,}(?<![.!?])$"))
+    cells = cells | lists
     menu = line.rlike(r"^(?:[^|/»·•›>]{1,40}\s[|/»·•›>]\s){3,}")
     item = line.rlike(r"^(?:[-*•▪‣◦●○■□–—·]|\(?\p{N}{1,3}[.)）、]|\(?[a-zA-Z][)）])\s*\S")
     tokens = F.size(F.split(line, r"\s+"))
@@ -102,26 +106,35 @@ def _structured(line: Column) -> Column:
     rows = (numbers >= 1) & (numbers >= tokens * 0.3) & (tokens <= 14)
     wide = line.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
     short = F.when(wide, F.length(line) <= 12).when(line.rlike(r"\p{IsThai}"), F.length(line) <= 18).otherwise((tokens <= 4) & (F.length(line) <= 36))
-    shaped = line.rlike(HINT) & (contents | cells | menu)
+    shaped = contents | cells | menu
     listed = item & ((F.length(line) <= 80) | F.right(line, F.lit(1)).isin(";", "；"))
-    return F.when(F.right(line, F.lit(1)).isin(";", "；"), listed | (line.rlike(HINT) & cells)).when(_ends(line), shaped).otherwise(listed | shaped | rows | short)
-
-
-def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(key, lang, n_chars, n_words, word_length, symbols, line_ends, common, ends, richness, voiceless, longest, structure,
-    bare) of each text that isn't blank. bare: has it no words, or few letters among mostly other characters? lang: a
-    column with what is known of the language, may be null."""
-    rows = df.select(F.col(key).alias("key"), F.col(lang).alias("said"), _plain(F.col(text)).alias("t")).where(r"t rlike '\\S'")
-    # without ASCII letters and spaces little of most texts is left to look at
-    rows = rows.withColumn("rest", F.regexp_replace("t", "[A-Za-z ]+", "")).withColumn("seen", F.greatest(F.length(F.replace("t", F.lit(" "), F.lit(""))), F.lit(1)))
-    other = F.col("rest").rlike(r"[^\x00-\x{24F}\x{2000}-\x{206F}]")
-    n = {k: F.when(other, _chars(F.col("rest"), p)).otherwise(0) for k, p in SCRIPTS.items()}
-    letters = F.col("seen") - F.length("rest") + _chars(F.col("rest"), r"\p{L}")
-    rows = rows.withColumn("letters", F.greatest(letters, F.lit(1))).withColumns({f"n_{k}": v for k, v in n.items()})
+    return F.when(F.right(line, F.lit(1)).isin(";", "；"), listed | cells).when(ended, shaped).otherwise(listed | shaped | rows | short)
+
+
+def statistics(df: DataFrame, key: str, text: str, *kept: str) -> DataFrame:
+    """(key, kept columns, script, c_<language>, n_chars, n_words, word_length, symbols, line_ends, common, ends, richness,
+    voiceless, longest, structure, bare) of each text that isn't blank: all that needs the text, a narrow row each, made
+    where the text is read. script: the language that the script tells, null for Latin script, whose common words are
+    counted in c_<language>. bare: has it no words, or few letters among mostly other characters?"""
+    rows = df.select(F.col(key).alias("key"), *(F.col(k).alias(f"kept_{k}") for k in kept), F.col(text).alias("raw")).where(r"raw rlike '\\S'")
+    # what is left without ASCII letters and spaces, and then without the letters of each script, is short in most texts
+    rows = rows.withColumn("ascii", F.length("raw") == F.octet_length("raw")).withColumn("rest_0", F.regexp_replace("raw", "[A-Za-z ]+", ""))
+    rows = rows.withColumn("other", ~F.col("ascii") & F.col("rest_0").rlike(r"[^\x00-\x{24F}\x{2000}-\x{206F}]"))
+    for k, kind in enumerate(SCRIPTS.values()):
+        rows = rows.withColumn(f"rest_{k + 1}", F.when(F.col("other"), F.regexp_replace(f"rest_{k}", f"[{kind}&&[\\p{{L}}&&[^Γ]]]+", "")).otherwise(F.col("rest_0")))
+    last = F.col(f"rest_{len(SCRIPTS)}")
+    rows = rows.withColumn("odd", ~F.col("ascii") & last.rlike(f"[{SPACES}{UNSEEN}{WIDE}]"))
+    rows = rows.withColumn("t", F.when(F.col("odd"), _plain(F.col("raw"))).otherwise(F.col("raw"))).withColumn("rest", F.when(F.col("odd"), F.regexp_replace(_plain(last), "[A-Za-z ]+", "")).otherwise(last))
+    rows = rows.withColumn("seen", F.greatest(F.length(F.replace("t", F.lit(" "), F.lit(""))), F.lit(1)))
+    rows = rows.withColumns({f"n_{k}": F.when(F.col("other"), F.length(f"rest_{i}") - F.length(f"rest_{i + 1}")).otherwise(0) for i, k in enumerate(SCRIPTS)})
+    letters = F.col("seen") - F.length("rest") + F.when(F.col("ascii"), 0).otherwise(_chars(F.col("rest"), r"\p{L}"))
+    rows = rows.withColumn("letters", F.greatest(letters, F.lit(1)))
     others = F.col("n_th") + F.col("n_ar") + F.col("n_hi") + F.col("n_ja") + F.col("n_zh")
     latin = F.col("letters") - others - F.col("n_ru") - F.col("n_el") >= F.greatest(others, F.col("n_ru"), F.col("n_el"))
     rows = rows.withColumn("latin", latin).withColumn("t", F.when(F.col("latin") & (F.col("n_ru") + F.col("n_el") > 0), _looks(F.col("t"))).otherwise(F.col("t")))
-    rows = rows.withColumn("w", F.expr(r"regexp_extract_all(lower(t), '[\\p{L}\\p{M}]+', 0)")).withColumn("n_words", F.size("w"))
+    western = r"[a-z\\x{AA}\\x{B5}\\x{BA}\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]+"
+    word = F.when(F.col("ascii"), F.expr("regexp_extract_all(lower(t), '[a-z]+', 0)")).when(~F.col("other"), F.expr(f"regexp_extract_all(lower(t), '{western}', 0)")).otherwise(F.expr(r"regexp_extract_all(lower(t), '[\\p{L}\\p{M}]+', 0)"))
+    rows = rows.withColumn("w", word).withColumn("n_words", F.size("w"))
     # a row is matched with all lists of its script at once
     among = lambda v: F.size(F.filter("w", lambda x: x.isin(v.split())))
     hits = {k: among(v) for k, v in COMMON.items()}
@@ -129,45 +142,51 @@ def statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     rows = rows.withColumn("c_en", F.when(F.col("latin"), hits.pop("en")))
     undecided = F.col("latin") & (F.col("c_en") < F.col("n_words") * 0.15)
     rows = rows.withColumns({f"c_{k}": (F.when(F.col("latin"), F.when(undecided, v).otherwise(0)) if k in LATIN else F.when(F.col(f"n_{k}") > 0, v)) for k, v in hits.items()})
-    best = F.greatest(*(F.col(f"c_{k}") for k in LATIN))
-    western = F.when(best >= F.greatest(F.lit(2), F.col("n_words") * 0.04), F.coalesce(*(F.when((F.col("said") == k) & (F.col(f"c_{k}") == best), k) for k in LATIN), *(F.when(F.col(f"c_{k}") == best, k) for k in LATIN))).otherwise(F.coalesce(F.when(F.col("said").isin(*LATIN), F.col("said")), F.lit("en")))
     own = F.when(F.col("n_ja") * 10 >= F.col("n_zh"), F.when(F.col("n_ja") > 0, "ja")).otherwise("zh")
     spaced = F.greatest("n_th", "n_ar", "n_hi", "n_el", "n_ru", F.col("n_ja") + F.col("n_zh"))
     script = reduce(lambda a, k: a.when(F.col(f"n_{k}") == spaced, k), ("th", "ar", "hi", "el", "ru"), F.when(spaced == 0, "en"))
-    rows = rows.withColumn("lang", F.when(F.col("latin"), western).otherwise(F.coalesce(script, own, F.lit("zh"))))
+    rows = rows.withColumn("script", F.when(~F.col("latin"), F.coalesce(script, own, F.lit("zh"))))
     seen = F.col("seen")
     # what wrong decoding leaves behind; such words aren't judged
-    rows = rows.withColumn("rest", F.when(F.col("latin") & (F.col("n_ru") + F.col("n_el") > 0), F.regexp_replace("t", "[A-Za-z ]+", "")).otherwise(F.col("rest")))
-    broken = F.col("rest").rlike(r"[^\x00-\x7F]") & (_count(F.col("rest"), r"[\x{80}-\x{9F}\x{A1}-\x{A9}\x{AC}-\x{B8}\x{BC}-\x{BE}\x{C2}\x{C3}\x{D0}-\x{D7}\x{DE}\x{FFFD}\x{2500}-\x{25FF}ÎÏØÙ†‡ˆ‰Œ√∂∞≠ΓÇ]") > seen * 0.06)
+    broken = ~F.col("ascii") & F.col("rest").rlike(r"[^\x00-\x7F]") & (_count(F.col("rest"), r"[\x{80}-\x{9F}\x{A1}-\x{A9}\x{AC}-\x{B8}\x{BC}-\x{BE}\x{C2}\x{C3}\x{D0}-\x{D7}\x{DE}\x{FFFD}\x{2500}-\x{25FF}ÎÏØÙ†‡ˆ‰Œ√∂∞≠ΓÇ]") > seen * 0.06)
     # one or two characters again and again are a filler, not damage
     broken = broken & ~F.col("t").rlike(r"[│┃]") & ~F.col("t").rlike(r"^\s*+([^\s\x{FFFD}])\s*+([^\s\x{FFFD}])(?:\s|\1|\2){6,}+$")
     rows = rows.withColumn("broken", broken)
-    common = reduce(lambda a, k: a.when(F.col("lang") == k, F.col(f"c_{k}") / F.greatest("n_words", F.lit(1))), COMMON, F.when(F.lit(False), F.lit(0.0)))
-    common = reduce(lambda a, k: a.when(F.col("lang") == k, _count(F.col("t"), FUNCTION[k]) / F.col("letters")), FUNCTION, common)
+    common = reduce(lambda a, k: a.when(F.col("script") == k, F.col(f"c_{k}") / F.greatest("n_words", F.lit(1))), (k for k in COMMON if k not in LATIN), F.when(F.lit(False), F.lit(0.0)))
+    common = reduce(lambda a, k: a.when(F.col("script") == k, _count(F.col("t"), FUNCTION[k]) / F.col("letters")), FUNCTION, common)
     # structure is judged in damaged texts too, on their ASCII part
     rows = rows.withColumn("t_lines", F.when(F.col("broken"), F.regexp_replace("t", r"[^\x00-\x7F]", "x")).otherwise(F.col("t")))
     rows = rows.withColumn("lines", F.expr(r"filter(transform(split(t_lines, '\n'), x -> trim(BOTH ' \t\r' FROM x)), x -> x != '')"))
-    size = F.greatest(F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)), F.lit(1))
+    rows = rows.withColumn("kinds", F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), _ends(x).alias("e"), x.alias("x"))))
+    size = F.greatest(F.aggregate("kinds", F.lit(0), lambda a, x: a + x["n"]), F.lit(1))
     sound = lambda c: F.when(~F.col("broken"), c)
     judged = lambda c: F.when(~F.col("broken") & (F.col("letters") >= LETTERS), c)
     bare = F.when(F.col("n_words") == 0, True).when(F.col("letters") < LETTERS, (F.col("letters") + _chars(F.col("rest"), r"\p{N}")) * 2 < F.col("seen")).otherwise(False)
-    without_spaces = F.col("lang").isin("zh", "ja", "th")
-    return rows.select(
-        "key",
-        "lang",
-        F.length("t").alias("n_chars"),
-        "n_words",
-        judged(F.when(without_spaces, None).otherwise(F.col("letters") / F.greatest("n_words", F.lit(1)))).alias("word_length"),
-        sound(_chars(F.col("rest"), r"[^\p{L}\p{M}\s.,!?;:'\"’“”«»()¿¡。，、！？：；（）「」؟،।…–—-]") / F.col("seen")).alias("symbols"),
-        (F.size(F.filter("lines", _ends)) / F.greatest(F.size("lines"), F.lit(1))).alias("line_ends"),
-        judged(common).alias("common"),
-        judged(F.when(F.col("lang") == "th", None).otherwise(100 * _count(F.col("t"), r"[.!?…;。！？؟।](?:(?<=[。！？؟।])|(?<=[\p{L}\p{M}\p{N}%\"”’»)].)(?=[\s\"”’»)」』）]|$))") / F.col("letters"))).alias("ends"),
-        judged(F.when(F.col("n_words") >= 8, F.log(F.size(F.array_distinct("w"))) / F.log(F.col("n_words")))).alias("richness"),
-        judged(F.when(F.col("latin") & (F.coalesce(F.greatest(*(F.col(f"c_{k}") for k in LATIN)), F.lit(0)) > F.col("n_words") * 0.15), 0.0).when(F.col("latin"), F.size(F.filter("w", lambda x: ~x.rlike("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ]") & (F.length(x) > 1))) / F.greatest("n_words", F.lit(1)))).alias("voiceless"),
-        sound(F.when(~without_spaces, F.array_max(F.transform(F.split("t", r"\s+"), lambda x: F.length(x))))).cast("double").alias("longest"),
-        (F.aggregate(F.filter("lines", _structured), F.lit(0), lambda a, x: a + F.length(x)) / size).alias("structure"),
-        F.coalesce(sound(bare), F.lit(False)).alias("bare"),
-    )
+    without_spaces = F.coalesce(F.col("script").isin("zh", "ja", "th"), F.lit(False))
+    best = F.greatest(*(F.col(f"c_{k}") for k in LATIN))
+    narrow = {
+        "word_length": judged(F.when(without_spaces, None).otherwise(F.col("letters") / F.greatest("n_words", F.lit(1)))),
+        "symbols": sound(_chars(F.col("rest"), r"[^\p{L}\p{M}\s.,!?;:'\"’“”«»()¿¡。，、！？：；（）「」؟،।…–—-]") / seen),
+        "line_ends": F.size(F.filter("kinds", lambda x: x["e"])) / F.greatest(F.size("kinds"), F.lit(1)),
+        "common": judged(common),
+        "ends": judged(F.when(F.col("script") == "th", None).otherwise(100 * _count(F.col("t"), r"[.!?…;。！？؟।](?:(?<=[。！？؟।])|(?<=[\p{L}\p{M}\p{N}%\"”’»)].)(?=[\s\"”’»)」』）]|$))") / F.col("letters"))),
+        "richness": judged(F.when(F.col("n_words") >= 8, F.log(F.size(F.array_distinct("w"))) / F.log(F.col("n_words")))),
+        "voiceless": judged(F.when(F.col("latin") & (F.coalesce(best, F.lit(0)) > F.col("n_words") * 0.15), 0.0).when(F.col("latin"), F.size(F.filter("w", lambda x: ~x.rlike("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ]") & (F.length(x) > 1))) / F.greatest("n_words", F.lit(1)))),
+        "longest": sound(F.when(~without_spaces, F.array_max(F.transform(F.split("t", r"\s+"), lambda x: F.length(x))))),
+        "structure": F.aggregate(F.filter("kinds", lambda x: _structured(x["x"], x["e"])), F.lit(0), lambda a, x: a + x["n"]) / size,
+    }
+    return rows.select("key", *(F.col(f"kept_{k}").alias(k) for k in kept), "script", *(f"c_{k}" for k in LATIN), F.length("t").alias("n_chars"), "n_words", *(v.cast("float").alias(k) for k, v in narrow.items()), (judged(F.lit(True)).isNotNull()).alias("judged"), F.coalesce(sound(bare), F.lit(False)).alias("bare"))
+
+
+def in_language(stats: DataFrame, said: str) -> DataFrame:
+    """Adds lang, and the share of its common words, from what the text tells and from the column ``said``, which may be null:
+    the script's language, or the one whose common words are most frequent; what is said decides only between equals and
+    where too few of them stand in the text."""
+    best = F.greatest(*(F.col(f"c_{k}") for k in LATIN))
+    western = F.when(best >= F.greatest(F.lit(2), F.col("n_words") * 0.04), F.coalesce(*(F.when((F.col(said) == k) & (F.col(f"c_{k}") == best), k) for k in LATIN), *(F.when(F.col(f"c_{k}") == best, k) for k in LATIN))).otherwise(F.coalesce(F.when(F.col(said).isin(*LATIN), F.col(said)), F.lit("en")))
+    hits = reduce(lambda a, k: a.when(F.col("_lang") == k, F.col(f"c_{k}")), LATIN, F.when(F.lit(False), F.lit(0)))
+    common = F.when(F.col("script").isNotNull(), F.col("common")).when(F.col("judged"), (hits / F.greatest("n_words", F.lit(1))).cast("float"))
+    return stats.withColumn("_lang", F.coalesce("script", western)).withColumn("common", common).withColumn("lang", F.col("_lang")).drop("_lang", "script", "judged", *(f"c_{k}" for k in LATIN))
 
 
 def sketches(stats: DataFrame) -> DataFrame:
@@ -189,8 +208,13 @@ def robust_z(stats: DataFrame, sketched: DataFrame) -> DataFrame:
 
 def scored(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """The statistics with their robust z and the verdict ``junk``."""
+    return judged_rows(in_language(statistics(df, key, text, lang).withColumnRenamed(lang, "_said").dropDuplicates(["key"]), "_said").drop("_said"))
+
+
+def judged_rows(stats: DataFrame) -> DataFrame:
+    """Adds the robust z of each statistic and the verdict ``junk``."""
     # a row a text of about a hundred bytes, read once for the sketches and once for the verdicts
-    stats = statistics(df, key, text, lang).dropDuplicates(["key"]).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
     z = robust_z(stats, sketches(stats))
     words = [F.coalesce(F.col(f"z_{s}"), F.lit(0.0)) for s in JUDGED]
     tails = sum((w > TAIL_Z).cast("int") for w in words)
@@ -203,18 +227,20 @@ def scored(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return z.withColumn("tails", tails).withColumn("total", total).withColumn("junk", filler | (F.col("z_structure") > STRUCTURE_Z) | ((F.col("tails") >= 2) & (F.col("total") > 9)) | ((F.col("tails") >= 1) & (F.col("total") > 10.5)))
 
 
-def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = table(spark, folder, "chunks").select("chunk_id", "doc_id", "content")
-    langs = table(spark, folder, "docs").select("doc_id", "lang").dropDuplicates(["doc_id"])
-    return chunks.join(langs, "doc_id", "left")
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdicts on the chunks. Only the narrow rows are shuffled: once by chunk, and by document where docs is too large
+    to be broadcast."""
+    stats = statistics(table(spark, folder, "chunks").select("chunk_id", "doc_id", "content"), "chunk_id", "content", "doc_id").dropDuplicates(["key"])
+    langs = table(spark, folder, "docs").select("doc_id", F.col("lang").alias("said")).dropDuplicates(["doc_id"])
+    return judged_rows(in_language(stats.join(langs, "doc_id", "left").drop("doc_id"), "said").drop("said"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return scored(_texts(spark, folder), "chunk_id", "content", "lang").where("junk").select(F.col("key").alias("chunk_id"))
+    return _judged(spark, folder).where("junk").select(F.col("key").alias("chunk_id"))
 
 
 def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return scored(_texts(spark, folder), "chunk_id", "content", "lang").withColumnRenamed("key", "chunk_id")
+    return _judged(spark, folder).withColumnRenamed("key", "chunk_id")
 
 
 QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics}
