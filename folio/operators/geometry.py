@@ -1,4 +1,4 @@
-"""Ruling lines: edges of rectangles, snapping, joining, and crossings."""
+"""Ruling lines: edges of rectangles, snapping and joining; and turning pages into visual space."""
 
 from __future__ import annotations
 
@@ -30,9 +30,34 @@ def joined(edges: DataFrame, tolerance: float = 3.0) -> DataFrame:
     return step.groupBy("page", "orient", "pos", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("g")
 
 
-def crossings(edges: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """(page, x, y) where a vertical edge meets a horizontal one: an equi-join on the page with a range on both axes."""
-    h = edges.where("orient = 'h'").select("page", F.col("pos").alias("y"), F.col("lo").alias("hl"), F.col("hi").alias("hh"))
-    v = edges.where("orient = 'v'").select("page", F.col("pos").alias("x"), F.col("lo").alias("vl"), F.col("hi").alias("vh"))
-    near = (F.col("x") >= F.col("hl") - tolerance) & (F.col("x") <= F.col("hh") + tolerance) & (F.col("y") >= F.col("vl") - tolerance) & (F.col("y") <= F.col("vh") + tolerance)
-    return h.join(v, "page").where(near).select("page", "x", "y").distinct()
+def turned(df: DataFrame, pages: DataFrame, points: dict[str, str], boxes: tuple[str, ...] = (), keys: tuple[str, ...] = ("doc_id", "page_num")) -> DataFrame:
+    """Points (x column: y column) and boxes (structs x0, y0, x1, y1) of pages (keys, width, height, rotate) in visual space,
+    where y grows downwards. Quarter turns only: other rotations leave everything as it is. Rows without a page stay out."""
+    turn = F.pmod(F.coalesce("rotate", F.lit(0)), F.lit(360))
+    step = df.join(pages.select(*keys, F.col("width").alias("_w"), F.col("height").alias("_h"), turn.alias("_turn")).dropDuplicates(list(keys)), list(keys))
+    w, h = F.col("_w"), F.col("_h")
+
+    def case(upright, right, over, left, other):
+        t = F.col("_turn")
+        return F.when(t == 0, upright).when(t == 90, right).when(t == 180, over).when(t == 270, left).otherwise(other)
+
+    new = {}
+    for cx, cy in points.items():
+        x, y = F.col(cx), F.col(cy)
+        new |= {cx: case(x, y, w - x, h - y, x), cy: case(h - y, w - x, h - y, x, y)}
+    for b in boxes:
+        x0, y0, x1, y1 = (F.col(f"{b}.{c}") for c in ("x0", "y0", "x1", "y1"))
+        sides = case(x0, y0, w - x1, h - y1, x0), case(h - y1, w - x1, h - y1, x0, y0), case(x1, y1, w - x0, h - y0, x1), case(h - y0, w - x0, h - y0, x1, y1)
+        new[b] = F.struct(*(s.alias(c) for s, c in zip(sides, ("x0", "y0", "x1", "y1"))))
+    return step.withColumns(new).drop("_w", "_h", "_turn")
+
+
+def transformed(x, y, m: list) -> tuple:
+    """A point through the matrix [a, b, c, d, e, f]; works on columns and numbers."""
+    a, b, c, d, e, f = m
+    return a * x + c * y + e, b * x + d * y + f
+
+
+def concatenated(m: list, n: list) -> list:
+    """The matrix that first does m, then n."""
+    return [*(m[r] * n[k] + m[r + 1] * n[k + 2] for r in (0, 2) for k in (0, 1)), m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5]]
