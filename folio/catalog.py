@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,7 +170,8 @@ def layers_removed(spark, folder):
 
 def page_markdown(spark, folder):
     """The documents with pages as Markdown."""
-    return markdown.pages_markdown(layout.text_lines(layout.without_doubled(views.visual_glyphs(spark, folder))))
+    # several plans read the lines; they stay on disk until the session's cache is cleared
+    return markdown.pages_markdown(layout.text_lines(layout.without_doubled(views.visual_glyphs(spark, folder))).persist(StorageLevel.DISK_ONLY))
 
 
 def document_titles(spark, folder):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,11 +127,12 @@ def pages_markdown(lines: DataFrame, others: DataFrame | None = None) -> DataFra
     """(doc_id, markdown): documents of lines (doc_id, page_num, box_no, line_no, text, size, x, y0) without running lines,
     with headings, and with tables and images (others: doc_id, page_num, kind, no, y0, markdown) in reading order."""
     named = lines.select(F.col("doc_id").alias("doc"), F.col("page_num").alias("page"), F.col("text").alias("line"), "*")
-    kept = pages.without_running_lines(named).drop("doc", "page", "line")
+    # read for the contents, the body size, the tiers and the text itself; on disk until the session's cache is cleared
+    kept = pages.without_running_lines(named).drop("doc", "page", "line").persist(StorageLevel.DISK_ONLY)
     boxes = box_markdown(heading_lines(kept, contents_entries(kept))).select("doc_id", "page_num", F.lit("text").alias("kind"), F.col("box_no").alias("no"), "y0", "markdown")
     if others is None:
         items = boxes.withColumn("ord", F.col("no"))
     else:
-        items = boxes.unionByName(others.select(*boxes.columns))
+        items = boxes.unionByName(others.select(*boxes.columns)).persist(StorageLevel.DISK_ONLY)
         items = items.join(layout.reading_order(items), ["doc_id", "page_num", "kind", "no"])
     return items.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "ord", "markdown"))), lambda x: x["markdown"]), "").alias("markdown"))
