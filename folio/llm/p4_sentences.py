@@ -1,7 +1,8 @@
 """Problem 4: sentence boundaries across languages and scripts, in SQL expressions only.
 
 Full stops that end nothing (in decimals, web addresses, initials and abbreviations, and terminators inside quotations)
-are masked with private-use characters of the same length, so that positions stay what they were. Boundaries are then
+are masked with private-use characters of the same length, so that positions stay what they were; quotations may be of any
+length. Boundaries are then
 found by terminators of the scripts: full stop, exclamation and question marks where no small letter follows, the
 Greek question mark, ideographic terminators, danda and Arabic question mark, spaces in Thai, and blank lines. Each
 boundary gets a mark, the text is split at the marks, and the sentences are taken from the unmasked text by position.
@@ -12,12 +13,14 @@ are code points from 0, ends exclusive; rows delivered twice count once; further
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.session import table
 
-MASK, CUT = "", ""
+MASK, CUT, EDGE = "", "", ""
 # Abbreviations after which no sentence ends, by language.
 ABBREVIATIONS = (
     "Dr", "Mr", "Mrs", "Ms", "St", "Prof", "Fig", "cf", "vs", "approx", "pp", "Co", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec",
@@ -45,14 +48,15 @@ MASKS = (
     rf"\.(?<=(?<![{_LETTER}\p{{N}}.’'{MASK}])\p{{L}}\.)(?=\s)",
     # a German ordinal
     r"\.(?<=(?<!\p{L})(?:[Ii]m|[Aa]m|[Dd]er|[Dd]em|[Dd]en|[Dd]as|[Dd]ie|[Vv]om|[Zz]um|[Bb]eim) \p{N}{1,2}\.)(?=\s+\p{Lu})",
-    # terminators inside a quotation, but for the last one
-    r"[.!?…。！？؟](?!”)(?<=“[^”\n]{0,300}.)(?=[^“”]{1,300}”)",
-    r"[.!?…](?!“)(?<=„[^“\n]{0,300}.)(?=[^“„]{1,300}“)",
-    r"[.!?…؟](?!»)(?<=«[^»\n]{0,300}.)(?=[^«»]{1,300}»)",
-    r"[。！？](?<=「[^」\n]{0,300}.)(?=[^「」]{0,300}」)",
-    r"[.!?…](?!\")(?<=(?:^|[\s(.!?])\"(?=[\p{L}¿¡])[^\"]{0,300}.)(?=[^\"]{1,300}\")",
-    # the last terminator of a quotation that its sentence goes on behind; after a colon the quotation ends the sentence
-    r"[。！？](?=”)(?<=(?:^|[^：:\s])\s{0,2}“[^”]{0,300}.)",
+)
+#: Quotations: opening mark, closing mark, what stands between, the terminators masked inside, may they stand behind a line
+#: break, and what spares the last one (in corner brackets nothing does).
+QUOTED = (
+    ("“", "”", "[^“”]", "[.!?…。！？؟]", False, "(?!”$)"),
+    ("„", "“", "[^„“]", "[.!?…]", False, "(?!“$)"),
+    ("«", "»", "[^«»]", "[.!?…؟]", False, "(?!»$)"),
+    ("「", "」", "[^「」]", "[。！？]", False, ""),
+    (r"(?<![^\s(.!?])\"(?=[\p{L}¿¡])", "\"", "[^\"]", "[.!?…]", True, "(?!\"$)"),
 )
 #: Ends of sentences, one after another; a mark is put behind what matches.
 BOUNDARIES = (
@@ -71,15 +75,52 @@ BOUNDARIES = (
 )
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it."""
+
+    def one(x: Column) -> Column:
+        return f(x)
+
+    return F.get(F.transform(F.array(value), one), F.lit(0))
+
+
+def _one_kind(text: Column, start: str, end: str, inside: str, marks: str, over_lines: bool, last: str) -> Column:
+    whole = f"(?U){start}{inside}*+{end}"
+
+    def joined(parts: Column) -> Column:
+        def quiet(p: Column, k: Column) -> Column:
+            head = p if over_lines else F.substring_index(p, "\n", 1)
+            out = F.regexp_replace(head, F.lit(f"(?U){marks}{last}"), F.lit(MASK))
+            if not over_lines:
+                out = F.concat(out, F.substring(p, F.length(head) + 1, F.length(p)))
+            if end == "”":
+                goes_on = F.get(parts, k - 1).rlike(r"(?U)(?:^|[^：:\s])\s{0,2}$")
+                out = F.when(goes_on, F.regexp_replace(out, "[。！？](?=”$)", MASK)).otherwise(out)
+            return F.when(k % 2 == 1, out).otherwise(p)
+
+        return F.array_join(F.transform(parts, quiet), "")
+
+    return F.when(text.rlike(whole), _bound(F.split(F.regexp_replace(text, F.lit(whole), F.lit(f"{EDGE}$0{EDGE}")), EDGE), joined)).otherwise(text)
+
+
+def quotations_masked(text: Column) -> Column:
+    """Terminators inside quotations masked, but for the last one. The text is cut at the quotations, each found whole by one
+    pattern, so that their length doesn't matter. The last terminator goes too where the sentence goes on behind a Chinese
+    quotation; after a colon the quotation ends the sentence."""
+    for kind in QUOTED:
+        text = _bound(text, lambda t, kind=kind: _one_kind(t, *kind))
+    return text
+
+
 def masked(text: Column) -> Column:
     for pattern in MASKS:
         text = F.regexp_replace(text, F.lit("(?U)" + pattern), F.lit(MASK))
-    return text
+    return quotations_masked(text)
 
 
 def sentences(text: Column) -> Column:
     """array<struct<start_at, end_at>> of a text column."""
-    marked = masked(F.translate(text, CUT, "?"))
+    marked = masked(F.translate(text, CUT + EDGE, "??"))
     for pattern in BOUNDARIES:
         marked = F.regexp_replace(marked, F.lit("(?U)" + pattern), F.lit("$0" + CUT))
     pieces = F.split(marked, CUT)

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,8 @@ SLACK = 0.1
 COVER = 0.5
 #: Seeds of the items up to which they are broadcast (24 bytes each); beyond it both sides are shuffled.
 BROADCAST_SEEDS = 1_000_000
+#: Base and modulus of the running hashes.
+BASE, PRIME = 1_000_003, (1 << 61) - 1
 # Fixed value: scripts that are written without spaces between words.
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*|[[\p{L}\p{M}\p{N}]&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]+"
 
@@ -76,49 +80,70 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     return counts.join(lengths, "item_id").where("covered >= least").select("doc_id", "item_id")
 
 
-def tiles(item: list[str], doc: list[str], places: dict[tuple, list[int]], seed: int = SEED, least: int = TILE) -> list[tuple[int, int, int]]:
-    """Marked matches (place in the item, place in the document, tokens), longest first; those shorter than a seed only beside
-    longer ones. places: of the document's grams of ``least`` tokens."""
+def grams(words: list[str], size: int) -> list[int]:
+    """The running Karp-Rabin hash of each run of ``size`` words."""
+    values = [hash(w) % PRIME for w in words]
+    out, h, first = [], 0, pow(BASE, size, PRIME)
+    for k, v in enumerate(values):
+        h = (h * BASE + v - (values[k - size] * first if k >= size else 0)) % PRIME
+        if k >= size - 1:
+            out.append(h)
+    return out
+
+
+def matches(item: list[str], doc: list[str], places: dict[int, list[int]], least: int = TILE) -> list[tuple[int, int, int]]:
+    """The longest common runs (place in the item, place in the document, tokens), of ``least`` tokens or more. places: of the
+    document's grams; words behind equal hashes are compared."""
     runs: list[tuple[int, int, int]] = []
     open_at: dict[int, tuple[int, int]] = {}
-    for i in range(len(item) - least + 1):
+    for i, h in enumerate(grams(item, least)):
         now: dict[int, tuple[int, int]] = {}
-        for d in places.get(tuple(item[i : i + least]), ()):
-            start, size = open_at.get(d - i, (i, least - 1))
-            now[d - i] = start, size + 1
+        for d in places.get(h, ()):
+            if item[i : i + least] == doc[d : d + least]:
+                start, size = open_at.get(d - i, (i, least - 1))
+                now[d - i] = start, size + 1
         runs += [(s, s + k, n) for k, (s, n) in open_at.items() if k not in now]
         open_at = now
-    runs += [(s, s + k, n) for k, (s, n) in open_at.items()]
+    return runs + [(s, s + k, n) for k, (s, n) in open_at.items()]
+
+
+def tiles(item: list[str], doc: list[str], places: dict[int, list[int]], seed: int = SEED, least: int = TILE) -> list[tuple[int, int, int]]:
+    """Marked matches (place in the item, place in the document, tokens), the longest first. A match of which another has taken
+    a part waits again, by the length of what is left. Those shorter than a seed are marked only beside longer ones."""
     used_i, used_d, marked = bytearray(len(item)), set(), []
-    diagonals: list[int] = []
-    long = sorted((r for r in runs if r[2] >= seed), key=lambda r: -r[2])
-    short = [r for r in runs if r[2] < seed]
-
-    def mark(i: int, d: int, n: int) -> None:
-        free = 0
-        for k in range(n + 1):  # parts that are still free
-            if k < n and not used_i[i + k] and d + k not in used_d:
-                free += 1
-            else:
-                if free >= least:
-                    s = k - free
-                    marked.append((i + s, d + s, free))
-                    for j in range(s, k):
-                        used_i[i + j] = 1
-                        used_d.add(d + j)
-                free = 0
-
-    for r in long:
-        mark(*r)
+
+    def mark(waiting: list[tuple], rank, enough: int) -> list[tuple[int, int, int]]:
+        """Marks the matches (rank, place in the item, place in the document, tokens) of ``enough`` tokens; gives the rest."""
+        heapify(waiting)
+        short = []
+        while waiting:
+            _, i, d, n = heappop(waiting)
+            free = [not used_i[i + k] and d + k not in used_d for k in range(n)]
+            if all(free):
+                marked.append((i, d, n))
+                used_i[i : i + n] = b"\1" * n
+                used_d.update(range(d, d + n))
+                continue
+            k = 0
+            for is_free, part in groupby(free):
+                size = len(list(part))
+                if is_free and size >= enough:
+                    heappush(waiting, (rank(i + k, d + k, size), i + k, d + k, size))
+                elif is_free and size >= least:
+                    short.append((i + k, d + k, size))
+                k += size
+        return short
+
+    runs = matches(item, doc, places, least)
+    longest = lambda i, d, n: (0, -n)
+    short = mark([(longest(*r), *r) for r in runs if r[2] >= seed], longest, seed) + [r for r in runs if r[2] < seed]
     diagonals = sorted(d - i for i, d, _ in marked)
 
-    def away(r: tuple[int, int, int]) -> int:
-        k = bisect_left(diagonals, r[1] - r[0])
-        return min((abs(x - (r[1] - r[0])) for x in diagonals[max(0, k - 1) : k + 1]), default=0)
+    def beside(i: int, d: int, n: int) -> tuple[int, int]:
+        k = bisect_left(diagonals, d - i)
+        return min((abs(x - (d - i)) for x in diagonals[max(0, k - 1) : k + 1]), default=0), -n
 
-    for r in sorted(short, key=lambda r: (min(away(r), GAP + 1), -r[2])):
-        if away(r) <= GAP:
-            mark(*r)
+    mark([(beside(*r), *r) for r in short if beside(*r)[0] <= GAP], beside, least)
     return marked
 
 
@@ -183,8 +208,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for doc_id, items_of, words in zip(batch["doc_id"], batch["items"], batch["w"]):
                 words = list(words)
                 places = defaultdict(list)
-                for k in range(len(words) - TILE + 1):
-                    places[tuple(words[k : k + TILE])].append(k)
+                for k, h in enumerate(grams(words, TILE)):
+                    places[h].append(k)
                 for x in items_of:
                     item = list(x["w"])
                     share = held(passages(tiles(item, words, places))) / len(item)
