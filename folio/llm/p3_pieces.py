@@ -115,13 +115,9 @@ def with_limits(chunks: DataFrame, docs: DataFrame, limits: DataFrame) -> DataFr
 
     A document's missing collection, or a chunk whose document is missing, uses the collection ``default``. The limits
     are a table of collections, a handful of rows that Spark broadcasts by their size."""
-    docs = docs.select("doc_id", F.coalesce("collection", F.lit("default")).alias("collection")).dropDuplicates(["doc_id"])
-    limits = limits.dropDuplicates(["collection"])
-    sized = docs.join(limits, "collection", "left").select("doc_id", "size", "overlap", "title_size")
-    usual = limits.where("collection = 'default'").select(F.col("size").alias("d_size"), F.col("overlap").alias("d_overlap"), F.col("title_size").alias("d_title_size"))
-    rows = chunks.select("chunk_id", "doc_id", "title", "content").join(sized.withColumn("known", F.lit(True)), "doc_id", "left")
-    rows = rows.join(F.broadcast(usual.withColumn("one", F.lit(1))), F.expr("one = if(known is null, 1, 0)"), "left")
-    rows = rows.select("chunk_id", "title", "content", F.coalesce("size", "d_size").alias("size"), F.coalesce("overlap", "d_overlap").alias("overlap"), F.coalesce("title_size", "d_title_size").alias("title_size"))
+    docs = docs.select("doc_id", "collection").dropDuplicates(["doc_id"])
+    rows = chunks.select("chunk_id", "doc_id", "title", "content").join(docs, "doc_id", "left").withColumn("collection", F.coalesce("collection", F.lit("default")))
+    rows = rows.join(limits.select("collection", "size", "overlap", "title_size").dropDuplicates(["collection"]), "collection", "left")
     items = F.array(
         F.struct(F.lit("content").alias("field_name"), F.col("content").alias("body"), F.col("size").alias("size"), F.col("overlap").alias("overlap")),
         F.struct(F.lit("title").alias("field_name"), F.col("title").alias("body"), F.col("title_size").alias("size"), F.col("overlap").alias("overlap")),

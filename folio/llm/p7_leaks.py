@@ -109,7 +109,7 @@ def matches(item: list[str], doc: list[str], places: dict[int, list[int]], least
 
 def tiles(item: list[str], doc: list[str], places: dict[int, list[int]], seed: int = SEED, least: int = TILE) -> list[tuple[int, int, int]]:
     """Marked matches (place in the item, place in the document, tokens), the longest first. A match of which another has taken
-    a part waits again, by the length of what is left. Those shorter than a seed are marked only beside longer ones."""
+    a part waits again, by the length of what is left. Those shorter than a seed are marked only beside longer ones, if there are any."""
     used_i, used_d, marked = bytearray(len(item)), set(), []
 
     def mark(waiting: list[tuple], rank, enough: int) -> list[tuple[int, int, int]]:

@@ -115,6 +115,35 @@ def test_p4(spark, text, want):
     assert [r.sentence for r in got] == want
 
 
+def test_p4_long_quotations(spark):
+    inside = ["It rained. It was wet. " * 40, "甲。" * 400, "One. Two! " * 60, "Eins. Zwei! " * 60]
+    texts = [f"He said: “{inside[0]}It ended.” Then they left.", f"「{inside[1]}」完。", f'She said "{inside[2]}Four." They left.', f"Er sagte: „{inside[3]}Drei.“ Dann ging er."]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, content string")
+    got = p4.sentence_rows(df, "chunk_id", "content").groupBy("chunk_id").count().collect()
+    assert {r.chunk_id: r["count"] for r in got} == {0: 2, 1: 1, 2: 2, 3: 2}
+
+
+def test_p5_scores_and_counts_by_square():
+    texts = ["abc éñЖ x\n", "日本 éé", "", "😀 a😀"]
+    pairs, n = p5.pair_counts(texts)
+    codes = p5.small(np.array([ord(c) for c in "\n" + "\n".join(texts) + "\n"]))
+    want = np.unique(codes[:-1] << 21 | codes[1:], return_counts=True)
+    assert np.array_equal(pairs, want[0]) and np.array_equal(n, want[1])
+    model = p5.Bigrams(pairs, n)
+    before, after = np.array([97, 233, 0x1F600, 5]), np.array([98, 233, 97, 0x65E5])
+    fast = model.of(before, after)
+    model._grid = np.full(0x10000, -1, np.int64), np.zeros((1, 1), np.float32)  # without the square all are searched
+    assert np.allclose(fast, model.of(before, after), atol=1e-5)
+    assert p5._plain(["plain", "é", "Ã©", "a\ufffd", ""]).tolist() == [True, True, False, False, True]
+
+
+def test_p5_glyphs_without_page(spark):
+    model = p5.Bigrams(*p5.pair_counts(["abc"] * 50))
+    rows = [(k, None, None, k, "\ufffd" if k == 9_000 else "a", 1.0 * k, 0.0) for k in range(10_000)]
+    df = spark.createDataFrame(rows, "glyph_id bigint, doc_id bigint, page_num int, seq_no int, text string, ox double, oy double")
+    assert [r.glyph_id for r in p5.damaged_glyphs(df, model).collect()] == [9_000]
+
+
 def test_p5_round_trip():
     random.seed(1)
     words = "le château était fermé près de la forêt où l’été déjà passé a laissé une fenêtre — élève très âgé à Nîmes".split()
@@ -193,6 +222,22 @@ def test_p7_many_passages():
     assert (0, 14, 12, 0) in p7.passages(tiles)
 
 
+def test_p7_tiles():
+    grams = p7.grams("a b a b".split(), 2)
+    assert grams[0] == grams[2] != grams[1] and p7.grams(["a"], 2) == []
+
+    def tiles(item, doc, seed=3):
+        places = {}
+        for k, h in enumerate(p7.grams(doc.split(), p7.TILE)):
+            places.setdefault(h, []).append(k)
+        return sorted(p7.tiles(item.split(), doc.split(), places, seed))
+
+    assert tiles("a b c d e f", "x a b c d y d e f") == [(0, 1, 4), (4, 7, 2)]  # what is left of d e f waits again
+    assert tiles("a b c d", "c d q q q q q q q a b") == [(0, 9, 2), (2, 0, 2)]  # without a seed short ones count wherever they stand
+    assert tiles("a b c d e x y", "a b c d e q q q q q q q x y") == [(0, 0, 5)]  # else only beside longer ones
+    assert tiles("a b c", "a b c a b c") == [(0, 0, 3)]
+
+
 def brute(docs, span):
     seen = {}
     for k, t in docs.items():
