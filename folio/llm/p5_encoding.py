@@ -11,7 +11,8 @@ texts it finds damaged are left out of the second. The pairs of neighbours are c
 one row a distinct pair. In a larger table the counts weigh as those of TRAIN_ROWS rows with the same shares would, so that
 damage which no model finds doesn't become usual by its mere number, and a pair counts once less than it stands there, so
 that no text speaks for its own damage. A text in which every pair of neighbouring characters is a usual one
-stays in the clean state without a Viterbi run. Runs are vectorised over batches of texts.
+stays in the clean state without a Viterbi run. Runs are vectorised over batches of texts. Only states in which a stay
+gains something take part, and a text without any isn't damaged: whether a text is damaged is known without its path.
 
 Glyphs are labelled in the order in which they stand on their page, so that a damaged letter is seen in its word.
 
@@ -46,6 +47,8 @@ LINE = 3.0
 #: Distance, in points along either axis, up to which a glyph counts as printed over another.
 OVER = 1.0
 FLOOR = -20.0
+#: Gains up to which a state is looked at again step by step (they are sums of rounded numbers).
+TIE = 1e-3
 #: Code points of the texts that are labelled at once (about 800 bytes each); a longer text is labelled alone.
 BATCH = 120_000
 #: Places in the order of glyphs without a page that are looked at together.
@@ -307,6 +310,25 @@ class Bigrams:
         return np.where(prior & ((codes[at] < 128) | own), np.maximum(out, AFTER_DISGUISE), out)
 
 
+@dataclass
+class Scores:
+    """A batch of texts for the hidden Markov model: the code points near units and where they stand among all, where the
+    texts begin, and on the places at which states differ (``first``: a text's first) what clean text and each of the
+    states that begin somewhere emit, and how much a text's best stay in each state gains."""
+
+    codes: np.ndarray
+    near: np.ndarray
+    starts: np.ndarray
+    spots: np.ndarray
+    first: np.ndarray
+    clean: np.ndarray
+    states: list[int]
+    emits: list[np.ndarray]
+    begins: list[np.ndarray]
+    units: list[Units]
+    gain: np.ndarray
+
+
 class Model:
     """The hidden Markov model: bigrams of clean text and the states of the pairs."""
 
@@ -329,74 +351,132 @@ class Model:
     def label(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
         """For each text: the restored text and, by code point, whether it is damaged."""
         out = [(t, np.zeros(len(t), bool)) for t in texts]
+        for take in self._batches(texts):
+            for k, r in self._paths([texts[k] for k in take], self._scores([texts[k] for k in take])):
+                out[take[k]] = r
+        return out
+
+    def damaged(self, texts: list[str]) -> np.ndarray:
+        """Which texts hold damaged characters, without their paths."""
+        out = np.zeros(len(texts), bool)
+        for take in self._batches(texts):
+            out[take] = self._scores([texts[k] for k in take]).gain.max(0) > 0
+        return out
+
+    def _batches(self, texts: list[str]):
+        """The places of the doubtful texts, in batches of texts of about one length."""
         todo = sorted(np.flatnonzero(self.doubtful(texts)).tolist(), key=lambda k: -len(texts[k]))
         while todo:
             take, size = [], 0
             while todo and (not take or size + len(texts[todo[-1]]) < BATCH):
                 size += len(texts[todo[-1]])
                 take.append(todo.pop())
-            for k, r in zip(take, self._viterbi([texts[k] for k in take])):
-                out[k] = r
-        return out
+            yield take
 
-    def _viterbi(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
+    def _scores(self, texts: list[str]) -> Scores:
+        """What clean text and each state emit, on the places of some texts at which they differ.
+
+        Characters that are neither near one that isn't ASCII nor part of a unit are left out first."""
         codes = code_points("\n" + "\n".join(texts) + "\n").astype(np.int64)
         lengths = np.array([len(t) for t in texts])
         starts = np.cumsum(np.concatenate([[1], lengths[:-1] + 1]))
-        before = np.concatenate([[10], codes[:-1]])
-        seen = (codes > 127) | (before > 127)
+        high = np.concatenate([np.zeros(3, bool), codes > 127, [False]])
+        # a unit has at most four characters and begins with one that isn't ASCII; the one before it tells how it begins
+        near = high[3:-1] | high[4:] | high[2:-2] | high[1:-3] | high[:-4]
+        near[0] = True
+        kept = np.flatnonzero(near)
+        seen = high[3:-1] | high[2:-2]
         clean = np.zeros(len(codes))
         clean[seen] = self.bigrams.clean(codes, np.flatnonzero(seen))
-        n_states = len(self.pairs.names)
-        emit = np.repeat(clean[None, :], n_states, 0)
-        begin = np.zeros((n_states, len(codes)), bool)
-        kept: list[Units] = []
-        for s in range(n_states):
+        seen[starts + lengths] = False  # the line breaks between the texts
+        codes, clean, seen = codes[kept], clean[kept], seen[kept]
+        place = np.arange(len(codes))
+        costly = clean - 1.0 * (codes > 127)
+        lost = len(self.pairs.names) - 1
+        states, emits, begins, units = [], [], [], []
+        for s in range(len(self.pairs.names)):
             u = self.pairs.units(s, codes)
-            kept.append(u)
-            at = np.flatnonzero(u.size)
-            if not len(at):
-                emit[s] -= 1.0
-                continue
-            inside = np.zeros(len(codes) + 4, bool)
-            for k in range(1, int(u.size.max())):
-                inside[at[u.size[at] > k] + k] = True
-            inside = inside[: len(codes)]
-            at = at[~inside[at]]
-            # the text as this state restores it, on the places where its units begin
-            shown = np.where(inside, 0, codes)
-            shown[at] = u.first[at]
-            tail = shown.copy()
-            if u.second is not None:
-                tail[at] = np.where(u.second[at] > 0, u.second[at], u.first[at])
-            place = np.arange(len(codes))
-            last = np.maximum.accumulate(np.where(inside, 0, place))
-            prev = tail[last[np.maximum(place - 1, 0)]]
-            touched = np.zeros(len(codes), bool)
-            touched[at] = True
-            follows = np.concatenate([[False], (touched | inside)[:-1]]) & ~inside
-            need = np.flatnonzero((touched | follows) & ~inside)
-            emit[s] = np.where(inside, 0.0, clean - 1.0 * (codes > 127))
-            emit[s, need] = self.bigrams.of(prev[need], shown[need])
-            if u.second is not None:
-                two = at[u.second[at] > 0]
-                emit[s, two] += self.bigrams.of(u.first[two], u.second[two])
-            begin[s, at] = True
-        lost = n_states - 1
-        emit[lost] = np.where(codes == LOST, -1.0, np.where((codes >= 0x80) & (codes < 0xA0), -6.0, np.where(codes > 127, -9.0, clean)))
-        begin[lost] = (codes == LOST) | ((codes >= 0x80) & (codes < 0xA0)) | (codes > 0xFF) & (np.concatenate([codes[1:], [0]]) == LOST)
-        return self._paths(texts, codes, starts, lengths, seen, clean, emit, begin, kept)
-
-    def _paths(self, texts, codes, starts, lengths, seen, clean, emit, begin, kept) -> list[tuple[str, np.ndarray]]:
-        """The best path of every text of the batch, one step of all texts at a time. Places where all states emit the
-        same (plain ASCII) are skipped."""
-        n_states, rows = len(kept), len(texts)
-        spots = [s + np.flatnonzero(seen[s : s + n]) for s, n in zip(starts, lengths)]
-        steps = max(map(len, spots))
-        grid = np.zeros((rows, steps), np.int64)  # place 0 is a line break: nothing begins there, every state emits 0
-        for k, p in enumerate(spots):
-            grid[k, : len(p)] = p
-        cost = np.array([ENTER_ONE if name in self.pairs.single else ENTER for name in self.pairs.names])[:, None]
+            begin = np.zeros(len(codes), bool)
+            if s == lost:
+                begin = (u.size > 0) | (codes > 0xFF) & (np.concatenate([codes[1:], [0]]) == LOST)
+                emit = np.where(codes == LOST, -1.0, np.where(u.size > 0, -6.0, np.where(codes > 127, -9.0, clean)))
+            else:
+                at = np.flatnonzero(u.size)
+                if not len(at):
+                    continue
+                inside = np.zeros(len(codes) + 4, bool)
+                for k in range(1, int(u.size.max())):
+                    inside[at[u.size[at] > k] + k] = True
+                inside = inside[: len(codes)]
+                at = at[~inside[at]]
+                # the text as this state restores it, on the places where its units begin
+                shown = np.where(inside, 0, codes)
+                shown[at] = u.first[at]
+                tail = shown
+                if u.second is not None:
+                    tail = shown.copy()
+                    tail[at] = np.where(u.second[at] > 0, u.second[at], u.first[at])
+                begin[at] = True
+                follows = np.concatenate([[False], (begin | inside)[:-1]])
+                need = np.flatnonzero((begin | follows) & ~inside)
+                prev = np.maximum(need - 1, 0)
+                if inside.any():
+                    prev = np.maximum.accumulate(np.where(inside, 0, place))[prev]
+                emit = np.where(inside, 0.0, costly)
+                emit[need] = self.bigrams.of(tail[prev], shown[need])
+                if u.second is not None:
+                    two = at[u.second[at] > 0]
+                    emit[two] += self.bigrams.of(u.first[two], u.second[two])
+            states.append(s)
+            emits.append(emit[seen])
+            begins.append(begin[seen])
+            units.append(u)
+        spots = kept[seen]
+        first = np.searchsorted(spots, starts)
+        return Scores(codes, near, starts, spots, first, clean[seen], states, emits, begins, units, self._gain(first, clean[seen], states, emits, begins))
+
+    def _cost(self, states: list[int]) -> np.ndarray:
+        return np.array([ENTER_ONE if self.pairs.names[s] in self.pairs.single else ENTER for s in states])
+
+    def _gain(self, first, clean, states, emits, begins) -> np.ndarray:
+        """By state and text: by how much the best stay in the state beats the clean state. The best path holds only
+        stays that gain something, as the clean state is at least as good for the others."""
+        counts = np.diff(np.append(first, len(clean)))
+        owner = np.repeat(np.arange(len(first)), counts)
+        end = first + counts - 1
+        out = np.zeros((len(states), len(first)))
+        for row, cost, emit, begin in zip(out, self._cost(states), emits, begins):
+            more = emit - clean
+            total = np.cumsum(more)
+            total -= (total - more)[first][owner]
+            # the least sum before a begin so far; the shift keeps texts apart
+            shift = owner * (2 * np.abs(total).max() + np.abs(more).max() + 1e4)
+            least = np.minimum.accumulate(np.where(begin, total - more, 5e3 + np.abs(total).max()) - shift) + shift
+            gain = total - least - LEAVE
+            gain[end] += LEAVE  # a text may end in a state
+            row[:] = np.maximum.reduceat(gain, first) - cost
+        return out
+
+    def _paths(self, texts: list[str], scores: Scores):
+        """The place of each text of a batch that may be damaged, with its restored text and its damaged code points, by
+        the best path, one step of all texts at a time. Places where all states emit the same (plain ASCII) are skipped."""
+        able = scores.gain > -TIE
+        which = np.flatnonzero(able.any(0))
+        if not len(which):
+            return
+        used = np.flatnonzero(able.any(1))
+        names = [scores.states[s] for s in used]
+        rows, n_states = len(which), len(used)
+        counts = np.diff(np.append(scores.first, len(scores.spots)))[which]
+        steps = counts.max()
+        # behind the last place every state emits 0 and nothing begins there
+        emit = np.array([np.append(scores.emits[s], 0.0) for s in used])
+        begin = np.array([np.append(scores.begins[s], False) for s in used])
+        clean = np.append(scores.clean, 0.0)
+        grid = np.full((rows, steps), len(scores.spots))
+        for k, (f, n) in enumerate(zip(scores.first[which], counts)):
+            grid[k, :n] = np.arange(f, f + n)
+        cost = self._cost(names)[:, None]
         v0 = np.zeros(rows)
         v = np.full((n_states, rows), -1e9)
         entered = np.zeros((steps, n_states, rows), bool)
@@ -412,42 +492,39 @@ class Model:
             v = np.maximum(v, enter) + emit[:, at]
             left[t] = np.where(leave, best, -1)
             v0 = root + clean[at]
-        out = []
         end = v.argmax(0)
-        for k, text in enumerate(texts):
+        place = np.cumsum(scores.near) - 1
+        for k, text in enumerate(which.tolist()):
             state = int(end[k]) if v[end[k], k] > v0[k] else -1
-            labels = {}
-            for t in range(len(spots[k]) - 1, -1, -1):
+            labels = []
+            for t in range(counts[k] - 1, -1, -1):
                 if state >= 0:
-                    labels[int(spots[k][t])] = state
+                    labels.append((int(scores.spots[grid[k, t]]), state))
                     if entered[t, state, k]:
                         state = int(left[t, k])
                 else:
                     state = int(left[t, k])
-            out.append(self._apply(text, int(starts[k]), codes, labels, kept) if labels else (text, np.zeros(len(text), bool)))
-        return out
+            if labels:
+                yield text, self._apply(texts[text], int(scores.starts[text]), [(p, int(place[p]), names[s], scores.units[used[s]]) for p, s in reversed(labels)], scores.codes)
 
-    def _apply(self, text: str, start: int, codes, labels: dict[int, int], kept) -> tuple[str, np.ndarray]:
+    def _apply(self, text: str, start: int, labels: list[tuple[int, int, int, Units]], codes: np.ndarray) -> tuple[str, np.ndarray]:
+        """The text with each labelled unit as its state restores it; labels are places among all code points of the
+        batch and among those kept, states and their units."""
         damaged = np.zeros(len(text), bool)
-        out, k, lost = [], 0, len(kept) - 1
-        while k < len(text):
-            s = labels.get(start + k)
-            u = kept[s] if s is not None else None
-            size = int(u.size[start + k]) if u is not None else 0
+        out, k, lost = [], 0, len(self.pairs.names) - 1
+        for p, q, s, u in labels:
+            at, size = p - start, int(u.size[q])
+            if at < k:
+                continue
             if s == lost:
-                damaged[k] = codes[start + k] > 127
-                out.append(text[k])
-                k += 1
+                damaged[at] = codes[q] > 127
             elif size:
-                damaged[k : k + size] = True
-                out.append(chr(int(u.first[start + k])))
-                if u.second is not None and u.second[start + k]:
-                    out.append(chr(int(u.second[start + k])))
-                k += size
-            else:
-                out.append(text[k])
-                k += 1
-        return "".join(out), damaged
+                damaged[at : at + size] = True
+                out.append(text[k:at] + chr(int(u.first[q])))
+                if u.second is not None and u.second[q]:
+                    out.append(chr(int(u.second[q])))
+                k = at + size
+        return "".join(out) + text[k:], damaged
 
 
 _made: list[Pairs] = []
@@ -494,7 +571,7 @@ def _sound(texts: list[str], first: Bigrams | None) -> list[str]:
     """The texts that aren't plainly damaged, or those that a first model finds undamaged."""
     if first is None:
         return [t for t, plain in zip(texts, _plain(texts)) if plain]
-    return [t for t, (_, damaged) in zip(texts, Model(first).label(texts)) if not damaged.any()]
+    return [t for t, damaged in zip(texts, Model(first).damaged(texts)) if not damaged]
 
 
 def fit(texts: list[str]) -> Bigrams:
@@ -539,6 +616,27 @@ def damaged_texts(rows: DataFrame, key: str, text: str, bigrams: Bigrams) -> Dat
     return out.where("restored is not null").dropDuplicates([key])
 
 
+def damaged_keys(rows: DataFrame, key: str, text: str, bigrams: Bigrams) -> DataFrame:
+    """(key) of the rows whose text is damaged."""
+    shared = rows.sparkSession.sparkContext.broadcast(bigrams)
+
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series(Model(shared.value).damaged(values.fillna("").tolist()))
+
+    return rows.where(pandas_udf(run, "boolean")(text)).select(key).distinct()
+
+
+def _covered(taken: dict[int, dict[int, list[tuple[float, float]]]], cx: int, cy: int, ox: float, oy: float) -> bool:
+    """Does a glyph stand at a place already taken? Places are kept by row and column of a lattice; most rows are empty."""
+    for j in (cy - 1, cy, cy + 1):
+        if row := taken.get(j):
+            for i in (cx - 1, cx, cx + 1):
+                for px, py in row.get(i, ()):
+                    if abs(px - ox) <= OVER and abs(py - oy) <= OVER:
+                        return True
+    return False
+
+
 def damaged_glyphs(glyphs: DataFrame, bigrams: Bigrams) -> DataFrame:
     """(glyph_id) of the glyphs that hold damaged characters. A page is one row: its size is bounded by the paper."""
     shared = glyphs.sparkSession.sparkContext.broadcast(bigrams)
@@ -557,10 +655,10 @@ def damaged_glyphs(glyphs: DataFrame, bigrams: Bigrams) -> DataFrame:
                 ox, oy = x["ox"], x["oy"]
                 if ox is not None and oy is not None:
                     cx, cy = int(ox // OVER), int(oy // OVER)
-                    if any(abs(px - ox) <= OVER and abs(py - oy) <= OVER for i in (cx - 1, cx, cx + 1) for j in (cy - 1, cy, cy + 1) for px, py in taken.get((i, j), ())):
+                    if _covered(taken, cx, cy, ox, oy):
                         over.append((n, x["glyph_id"], x["text"]))
                         continue
-                    taken.setdefault((cx, cy), []).append((ox, oy))
+                    taken.setdefault(cy, {}).setdefault(cx, []).append((ox, oy))
                     if last is not None and abs(oy - last) > LINE:
                         text.append(" ")
                         owner.append(None)
@@ -584,7 +682,7 @@ def damaged_glyphs(glyphs: DataFrame, bigrams: Bigrams) -> DataFrame:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     chunks, glyphs = table(spark, folder, "chunks"), table(spark, folder, "glyphs")
     bigrams = fitted(chunks, "chunk_id", "content")
-    records = damaged_texts(chunks, "chunk_id", "content", bigrams).select(F.lit("chunks").alias("src_table"), F.col("chunk_id").alias("rec_id"))
+    records = damaged_keys(chunks, "chunk_id", "content", bigrams).select(F.lit("chunks").alias("src_table"), F.col("chunk_id").alias("rec_id"))
     return records.unionByName(damaged_glyphs(glyphs, bigrams).select(F.lit("glyphs").alias("src_table"), F.col("glyph_id").alias("rec_id")))
 
 

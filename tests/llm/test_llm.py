@@ -158,6 +158,74 @@ def test_p5_round_trip():
     assert lost.tolist().index(True) == 4
 
 
+def p5_best(model, text):
+    """The score of the clean state and of the best path, over all places and all states, one text at a time."""
+    codes = np.array([10, *map(ord, text), 10])
+    n, names = len(codes), model.pairs.names
+    seen = (codes > 127) | (np.append(10, codes[:-1]) > 127)
+    clean = np.zeros(n)
+    clean[seen] = model.bigrams.clean(codes, np.flatnonzero(seen))
+    v0, v = 0.0, np.full(len(names), -1e9)
+    units = [model.pairs.units(s, codes) for s in range(len(names))]
+    score = lambda a, b: model.bigrams.of(np.array([a]), np.array([b]))[0]
+    emits = np.zeros((len(names), n))
+    begins = np.zeros((len(names), n), bool)
+    for s, u in enumerate(units):
+        end, tail, after = 0, 10, False  # where the last unit ends, what it ends with, whether it was one
+        for k in range(n):
+            if k < end:
+                continue
+            size = int(u.size[k])
+            if names[s][0] == "lost":
+                begins[s, k] = size > 0 or (codes[k] > 0xFF and k + 1 < n and codes[k + 1] == p5.LOST)
+                emits[s, k] = -1.0 if codes[k] == p5.LOST else -6.0 if size else -9.0 if codes[k] > 127 else clean[k]
+            elif size:
+                begins[s, k], emits[s, k] = True, score(tail, u.first[k])
+                tail, end, after = u.first[k], k + size, True
+                if u.second is not None and u.second[k]:
+                    emits[s, k] += score(tail, u.second[k])
+                    tail = u.second[k]
+            else:
+                emits[s, k] = score(tail, codes[k]) if after else clean[k] - (codes[k] > 127)
+                tail, after = codes[k], False
+    cost = np.array([p5.ENTER_ONE if x in model.pairs.single else p5.ENTER for x in names])
+    for k in np.flatnonzero(seen[:-1]):
+        root = max(v0, v.max() - p5.LEAVE)
+        v = np.maximum(v, np.where(begins[:, k], root - cost, -1e9)) + emits[:, k]
+        v0 = root + clean[k]
+    return clean[:-1].sum(), max(v0, v.max())
+
+
+def test_p5_damaged_without_paths(monkeypatch):
+    random.seed(3)
+    words = "le château était fermé près de la forêt où l’été déjà passé — привет друзья сегодня хорошая погода 今天天气很好 plain words between".split()
+    clean = [" ".join(random.choice(words) for _ in range(20)) for _ in range(300)]
+    model = p5.Model(p5.fit(clean))
+    texts = []
+    for text in clean[:25]:
+        place, word = random.randrange(len(text)), random.choice(words)
+        true, read = random.choice([("utf-8", "cp1252"), ("utf-8", "cp437"), ("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("utf-8", "gbk"), ("gbk", "cp1252"), ("cp1252", "mac_roman")])
+        texts.append(text[:place] + word.encode(true, "ignore").decode(read, "replace") + text[place:])
+        texts.append(text[:place] + random.choice("ÀÉÐ»·жñß\x92\ufffdÃ") + text[place:])
+    texts += ["", "plain", "é", "\ufffd", "\n\n", "a" * 500 + "Ã©" + "b" * 500]
+    doubtful, best = model.doubtful(texts), [p5_best(model, t) for t in texts]
+    want = [bool(d and top > bottom + 1e-9) for d, (bottom, top) in zip(doubtful, best)]
+    labelled = model.label(texts)
+    assert 0 < sum(want) < doubtful.sum() and [bool(d.any()) for _, d in labelled] == want
+    monkeypatch.setattr(p5, "BATCH", 300)  # neither batches nor the texts beside it change what a text gets
+    assert all(a == c and np.array_equal(b, d) for (a, b), (c, d) in zip(labelled, model.label(texts)))
+    monkeypatch.setattr(p5.Model, "_paths", None)  # whether a text is damaged is known without a path
+    assert model.damaged(texts).tolist() == want
+    assert len(model._scores(["a" * 500 + "Ã©" + "b" * 500]).codes) < 10
+
+
+def test_p5_found_equals_restored(spark):
+    model = p5.Bigrams(*p5.pair_counts(["le château était fermé"] * 50))
+    df = spark.createDataFrame([(1, "le chÃ¢teau"), (1, "le chÃ¢teau"), (2, "était"), (3, None), (4, ""), (5, "ferm\ufffd")], "id bigint, body string")
+    found, restored = p5.damaged_keys(df, "id", "body", model), p5.damaged_texts(df, "id", "body", model)
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in restored.collect()) == [1, 5]
+
+
 def test_p5_fits_all_rows(spark):
     random.seed(2)
     values = ["".join(random.choice("abc éñЖ\n") for _ in range(random.randrange(12))) for _ in range(900)] + ["only here ŵŷ", "and here ŵŷ", "once ẁẃ"]
