@@ -14,7 +14,8 @@ that no text speaks for its own damage. A text in which every pair of neighbouri
 stays in the clean state without a Viterbi run. Runs are vectorised over batches of texts. Only states in which a stay
 gains something take part, and a text without any isn't damaged: whether a text is damaged is known without its path.
 
-Glyphs are labelled in the order in which they stand on their page, so that a damaged letter is seen in its word.
+Glyphs are labelled in the order in which they stand on their page, so that a damaged letter is seen in its word. Their
+restored texts come out as those of chunks do.
 
 Defined results: null gives null and is no case; empty texts are clean; a record delivered twice counts once; glyphs
 without a page are taken in stretches of their order; further columns are ignored.
@@ -350,10 +351,22 @@ class Model:
 
     def label(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
         """For each text: the restored text and, by code point, whether it is damaged."""
-        out = [(t, np.zeros(len(t), bool)) for t in texts]
+        out = []
+        for text, parts in zip(texts, self.parts(texts)):
+            damaged, pieces, k = np.zeros(len(text), bool), [], 0
+            for at, size, unit in parts:
+                damaged[at : at + size] = True
+                pieces.append(text[k:at] + unit)
+                k = at + size
+            out.append(("".join(pieces) + text[k:], damaged))
+        return out
+
+    def parts(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """For each text: its damaged units in order, as places, lengths and what they are restored to."""
+        out = [[] for _ in texts]
         for take in self._batches(texts):
-            for k, r in self._paths([texts[k] for k in take], self._scores([texts[k] for k in take])):
-                out[take[k]] = r
+            for k, parts in self._paths([texts[k] for k in take], self._scores([texts[k] for k in take])):
+                out[take[k]] = parts
         return out
 
     def damaged(self, texts: list[str]) -> np.ndarray:
@@ -458,8 +471,8 @@ class Model:
         return out
 
     def _paths(self, texts: list[str], scores: Scores):
-        """The place of each text of a batch that may be damaged, with its restored text and its damaged code points, by
-        the best path, one step of all texts at a time. Places where all states emit the same (plain ASCII) are skipped."""
+        """The place of each text of a batch that is damaged, with its damaged units, by the best path, one step of all
+        texts at a time. Places where all states emit the same (plain ASCII) are skipped."""
         able = scores.gain > -TIE
         which = np.flatnonzero(able.any(0))
         if not len(which):
@@ -507,24 +520,22 @@ class Model:
             if labels:
                 yield text, self._apply(texts[text], int(scores.starts[text]), [(p, int(place[p]), names[s], scores.units[used[s]]) for p, s in reversed(labels)], scores.codes)
 
-    def _apply(self, text: str, start: int, labels: list[tuple[int, int, int, Units]], codes: np.ndarray) -> tuple[str, np.ndarray]:
-        """The text with each labelled unit as its state restores it; labels are places among all code points of the
-        batch and among those kept, states and their units."""
-        damaged = np.zeros(len(text), bool)
+    def _apply(self, text: str, start: int, labels: list[tuple[int, int, int, Units]], codes: np.ndarray) -> list[tuple[int, int, str]]:
+        """The units that the labelled states make of a text; labels are places among all code points of the batch and
+        among those kept, states and their units."""
         out, k, lost = [], 0, len(self.pairs.names) - 1
         for p, q, s, u in labels:
             at, size = p - start, int(u.size[q])
             if at < k:
                 continue
             if s == lost:
-                damaged[at] = codes[q] > 127
+                if codes[q] > 127:
+                    out.append((at, 1, text[at]))
             elif size:
-                damaged[at : at + size] = True
-                out.append(text[k:at] + chr(int(u.first[q])))
-                if u.second is not None and u.second[q]:
-                    out.append(chr(int(u.second[q])))
+                second = u.second is not None and u.second[q]
+                out.append((at, size, chr(int(u.first[q])) + (chr(int(second)) if second else "")))
                 k = at + size
-        return "".join(out) + text[k:], damaged
+        return out
 
 
 _made: list[Pairs] = []
@@ -637,8 +648,26 @@ def _covered(taken: dict[int, dict[int, list[tuple[float, float]]]], cx: int, cy
     return False
 
 
+def _by_owner(text: str, owners: list[int | None], parts: list[tuple[int, int, str]]) -> dict[int, str]:
+    """The restored texts of those owners of a text's characters that hold damaged ones."""
+    if not parts:
+        return {}
+    pieces, hit = list(text), set()
+    for at, size, unit in parts:
+        pieces[at : at + size] = [unit] + [""] * (size - 1)
+        hit.update(owners[at : at + size])
+    hit.discard(None)
+    out = dict.fromkeys(hit, "")
+    for owner, piece in zip(owners, pieces):
+        if owner in hit:
+            out[owner] += piece
+    return out
+
+
 def damaged_glyphs(glyphs: DataFrame, bigrams: Bigrams) -> DataFrame:
-    """(glyph_id) of the glyphs that hold damaged characters. A page is one row: its size is bounded by the paper."""
+    """(glyph_id, restored) of the glyphs that hold damaged characters, with their texts as far as they can be restored:
+    what several glyphs' characters stand for goes to the first, the others become empty. A page is one row: its size is
+    bounded by the paper."""
     shared = glyphs.sparkSession.sparkContext.broadcast(bigrams)
     # rows without a page may be many: they are taken in stretches of their order
     part = F.when(F.col("doc_id").isNull() | F.col("page_num").isNull(), F.floor(F.coalesce("seq_no", F.lit(0)) / STRETCH) * 1_000 + F.pmod(F.hash("glyph_id"), F.when(F.col("seq_no").isNull(), 1_000).otherwise(1)))
@@ -668,15 +697,16 @@ def damaged_glyphs(glyphs: DataFrame, bigrams: Bigrams) -> DataFrame:
             texts.append("".join(text))
             owners.append(owner)
         model = Model(shared.value)
-        found = [{o[k] for k in np.flatnonzero(d)} for o, (_, d) in zip(owners, model.label(texts))]
+        found = [_by_owner(t, o, parts) for t, o, parts in zip(texts, owners, model.parts(texts))]
         # a glyph printed over another has no word around it: only a unit of several characters, or a lost one, tells
         alone = [t if len(t) > 1 or t == chr(LOST) or "\x80" <= t < "\xa0" else "" for _, _, t in over]
-        for (n, glyph, _), (_, d) in zip(over, model.label(alone)):
-            if d.any():
-                found[n].add(glyph)
-        return pd.Series([sorted(x - {None}) for x in found], dtype=object)
+        for (n, glyph, _), (restored, d) in zip(over, model.label(alone)):
+            if d.any() and glyph is not None:
+                found[n][glyph] = restored
+        return pd.Series(found, dtype=object)
 
-    return pages.select(F.explode(pandas_udf(run, "array<bigint>")("g")).alias("glyph_id")).distinct()
+    # a glyph is one record, also where its rows name several pages
+    return pages.select(F.explode(pandas_udf(run, "map<bigint, string>")("g")).alias("glyph_id", "restored")).groupBy("glyph_id").agg(F.min("restored").alias("restored"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -692,5 +722,10 @@ def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
     return damaged_texts(chunks, "chunk_id", "content", fitted(chunks, "chunk_id", "content"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored}
+def p5_restored_glyphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The damaged glyphs with their restored texts."""
+    return damaged_glyphs(table(spark, folder, "glyphs"), fitted(table(spark, folder, "chunks"), "chunk_id", "content"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p5_restored_glyphs": p5_restored_glyphs}
 ORACLE: dict[str, str] = {}

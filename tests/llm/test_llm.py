@@ -226,6 +226,20 @@ def test_p5_found_equals_restored(spark):
     assert sorted(r.id for r in found.collect()) == sorted(r.id for r in restored.collect()) == [1, 5]
 
 
+def test_p5_glyphs_are_restored(spark):
+    random.seed(4)
+    words = "le château était fermé près de la forêt où été déjà passé a laissé une fenêtre".split()
+    model = p5.fit([" ".join(random.choice(words) for _ in range(30)) for _ in range(400)])
+    page = [*"le ch", "Ã", "¢", *"teau ", "Ã©ta", *"it ferm", "é", *" pr", "\ufffd", *"s"]
+    rows = [(k, 1, 1, k, t, 10.0 * k, 0.0) for k, t in enumerate(page)]
+    rows += [rows[5], (100, 1, 1, 100, "Ã¨", 0.2, 0.0), (None, 1, 3, 0, "Ã©", 0.0, 0.0), (6, 1, 2, 0, "\ufffd", 0.0, 0.0)]
+    rows += 2 * [(200 + k, 1, 4, k, t, None, None) for k, t in enumerate("fermÃ©")]  # delivered twice, without places
+    df = spark.createDataFrame(rows, "glyph_id bigint, doc_id bigint, page_num int, seq_no int, text string, ox double, oy double").repartition(3)
+    got = sorted(map(tuple, p5.damaged_glyphs(df, model).collect()))
+    # two glyphs of one letter; a letter in a longer glyph; a lost one; one printed over another; one on two pages
+    assert got == [(5, "â"), (6, ""), (12, "éta"), (page.index("\ufffd"), "\ufffd"), (100, "è"), (204, "é"), (205, "")]
+
+
 def test_p5_fits_all_rows(spark):
     random.seed(2)
     values = ["".join(random.choice("abc éñЖ\n") for _ in range(random.randrange(12))) for _ in range(900)] + ["only here ŵŷ", "and here ŵŷ", "once ẁẃ"]
